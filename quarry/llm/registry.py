@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import boilerplate, encoding, fusion, pii
+from . import boilerplate, encoding, fusion, lookalike, packing, pii, tokenizing
 
 FUSED = ["professor", "completion_type", "credit", "schedule_summary", "text"]
 
@@ -62,7 +62,28 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_pii(table(spark, sf_dir, "syllabus"), "record_id", ["text"], ["syllabus_url"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_boilerplate, p2_found, p2_posterior, p2_records, p4_found, p4_repaired, p5_found, p5_redacted)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenizing.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the containers of each window."""
+    sizes = tokenizing.encode_corpus(table(spark, sf_dir, "documents"), counts_only=True)
+    return packing.pack_windows(sizes, table(spark, sf_dir, "context_windows"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of the same look and different characters."""
+    return lookalike.same_look_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one form."""
+    return lookalike.canonical_text(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_boilerplate, p2_found, p2_posterior, p2_records, p4_found, p4_repaired, p5_found, p5_redacted, p6_ids, p7_packed, p8_found, p8_canonical)}
 
 _KEYED = """
 keyed AS (
