@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("multivalue",)
+MODULES = ("multivalue", "retrieval", "text", "catalog", "chat", "quality")
 
 
 def queries() -> dict:
