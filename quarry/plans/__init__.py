@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("multivalue", "retrieval", "text", "catalog", "chat", "quality")
+MODULES = ("multivalue", "retrieval", "text", "catalog", "chat", "quality", "evaluation", "dedup")
 
 
 def queries() -> dict:
