@@ -9,10 +9,15 @@ from ..functions.storage import materialize
 
 def shingles(text: Column, words: int = 5) -> Column:
     """Distinct hashes of the runs of ``words`` words of a text; a shorter text is one shingle, a blank one none."""
-    w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+"), lambda x: x != "")
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words)))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    words_of = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+"), lambda x: x != "")
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words)))
+        return F.when(n > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+    # The one-element array binds the words to a variable: else every run would split the text anew.
+    return F.transform(F.array(words_of), runs)[0]
 
 
 def near_duplicate_classes(df: DataFrame, key: str, text: str, block: Column) -> tuple[DataFrame, DataFrame]:
