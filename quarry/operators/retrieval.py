@@ -90,7 +90,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     run, schema = packed("r", block)
     row_blocks = vectors.select(F.col(key).cast("bigint"), vector).mapInArrow(run, schema)
     run, schema = packed("q", query_block)
-    query_blocks = queries.select(F.col(key).cast("bigint"), vector).coalesce(1).mapInArrow(run, schema) if queries.rdd.getNumPartitions() <= 8 else queries.select(F.col(key).cast("bigint"), vector).mapInArrow(run, schema)
+    query_blocks = queries.select(F.col(key).cast("bigint"), vector).mapInArrow(run, schema)
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

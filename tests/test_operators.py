@@ -124,3 +124,10 @@ def test_percentile_and_urls(spark):
 
 def test_expansion_vocabulary():
     assert list(plans_text.SUFFIXES).index("에서는") < list(plans_text.SUFFIXES).index("는")
+
+
+def test_percentile_of_a_large_group(spark):
+    df = spark.range(250_000).selectExpr("'a' AS k", "CAST(pmod(xxhash64(id), 1000003) AS DOUBLE) AS v")
+    got = Q.percentile_by_rank(df, ["k"], "v", 0.95).first()
+    want = sorted(r["v"] for r in df.collect())[int(0.95 * 249_999)]
+    assert got["n"] == 250_000 and got["percentile"] == want
