@@ -46,7 +46,7 @@ def char_count_errors(spark, sf_dir):
     return s.where(F.col("char_count").isNull() | (F.col("char_count") != F.length("text"))).select("record_id", "char_count", F.length("text").alias("n_chars"))
 
 
-def p95_exact(spark, sf_dir):
+def exact_p95(spark, sf_dir):
     """Value at rank int(.95 (n - 1)) per event type."""
     return Q.percentile_by_rank(table(spark, sf_dir, "events").where("value is not null"), ["event_type"], "value", 0.95)
 
@@ -105,7 +105,7 @@ SQL = {
     "distinct_counts": f"SELECT count(DISTINCT {_BARE}) AS codes, count(DISTINCT CASE WHEN year IS NOT NULL AND term IS NOT NULL THEN year || '|' || term END) AS terms, count(DISTINCT dept_code) AS departments FROM courses",
     "format_counts": f"SELECT attachment_ext, count(*) AS n, CAST(count_if(collection_status = 'ok') AS BIGINT) AS ok, CAST(count_if(NOT {_MISS.format(c='attachment_path')}) AS BIGINT) AS with_path FROM courses GROUP BY 1",
     "char_count_errors": "SELECT record_id, char_count, CAST(length(text) AS INT) AS n_chars FROM syllabus WHERE text IS NOT NULL AND (char_count IS NULL OR char_count <> length(text))",
-    "p95_exact": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(CASE WHEN i = floor(0.95 * (n - 1)) THEN value END) AS percentile FROM r GROUP BY event_type",
+    "exact_p95": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(CASE WHEN i = floor(0.95 * (n - 1)) THEN value END) AS percentile FROM r GROUP BY event_type",
     "set_preservation": f"""WITH s AS (SELECT DISTINCT {_BARE} AS code, e.day AS day FROM (SELECT course_code, unnest(schedule_entries) AS e FROM syllabus)),
         c AS (SELECT DISTINCT {_BARE} AS code, unnest(regexp_extract_all(coalesce(schedule_entries_json, ''), '"day": "([월화수목금토일])"', 1)) AS day FROM courses)
         SELECT c.code, count(*) AS n_days, count(s.code) AS n_kept, count(*) = count(s.code) AS preserved FROM c LEFT JOIN s ON c.code = s.code AND c.day = s.day WHERE c.code <> '' GROUP BY c.code""",
@@ -116,4 +116,4 @@ SQL = {
     "mojibake_signals": "SELECT site_id, CAST(count_if(contains(text, '�')) AS BIGINT) AS replaced, CAST(count_if(regexp_matches(text, '[À-ÿ]{3}')) AS BIGINT) AS latin, CAST(count_if(regexp_matches(text, '[慴扥湡潦牧]{2}')) AS BIGINT) AS han FROM syllabus WHERE text IS NOT NULL GROUP BY site_id",
     "domain_checks": "SELECT s.site_id, found, n, found = host AS agrees FROM (SELECT site_id, regexp_extract(coalesce(syllabus_url, ''), '^https?://([^/?#]+)', 1) AS found, count(*) AS n FROM syllabus GROUP BY 1, 2) s LEFT JOIN sites USING (site_id)",
 }
-QUERIES = {f.__name__: f for f in (missingness_report, frequency_counts, median_minmax_chars, distinct_counts, format_counts, char_count_errors, p95_exact, set_preservation, redaction_counts, redaction_residuals, safe_url_filter, mojibake_signals, domain_checks)}
+QUERIES = {f.__name__: f for f in (missingness_report, frequency_counts, median_minmax_chars, distinct_counts, format_counts, char_count_errors, exact_p95, set_preservation, redaction_counts, redaction_residuals, safe_url_filter, mojibake_signals, domain_checks)}
