@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("multivalue", "retrieval", "text", "catalog", "chat", "quality", "evaluation", "dedup", "streams")
+MODULES = ("multivalue", "retrieval", "text", "catalog", "chat", "quality", "evaluation", "dedup", "streams", "extraction")
 
 
 def queries() -> dict:
