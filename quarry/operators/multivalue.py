@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import arrow_type
+
 _DAY = r"[월화수목금토일](?:요일)?"
 _NUM = r"[0-9０-９]{1,2}"
 _RANGE = rf"{_NUM}(?:\s*[-~∼～〜–－,]\s*{_NUM})*"
@@ -196,7 +198,7 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, bool], min_values: i
     Narrow: no shuffle.
     """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, field_name string, pos int, value string"
-    target = pa.schema([(key, pa.int64() if df.schema[key].dataType.simpleString() == "bigint" else pa.string()), ("field_name", pa.string()), ("pos", pa.int32()), ("value", pa.string())])
+    target = pa.schema([(key, arrow_type(df, key)), ("field_name", pa.string()), ("pos", pa.int32()), ("value", pa.string())])
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

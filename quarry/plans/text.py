@@ -89,4 +89,9 @@ SQL = {
     "fixed_window_chunks": """WITH w AS (SELECT doc_id, text, length(text) AS n, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 900) / 780.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0)
         SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(k * 780 AS INT) AS begin, substr(text, k * 780 + 1, 900) AS chunk FROM w WHERE regexp_replace(substr(text, k * 780 + 1, 900), '[ \\t\\n\\f\\r]', '', 'g') <> ''""",
 }
+_SECTION = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in segment.SECTIONS) + " END"
+SQL["section_priority_rank"] = f"""WITH l AS (SELECT record_id, site_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT record_id, site_id, string_split(text, chr(10)) AS x FROM syllabus WHERE length(text) > 0)),
+    n AS (SELECT *, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY record_id, site_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'body') AS section FROM l),
+    p AS (SELECT site_id, section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM n WHERE trim(line, ' ') <> '' GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n_chars DESC, section) AS rank FROM p"""
 QUERIES = {f.__name__: f for f in (cleaned_text_lengths, normalized_titles, code_extraction, query_expansion_terms, question_keys, fixed_window_chunks, section_chunks, section_priority_rank)}
