@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import arrow_type
+
 #: Bytes that cp1252 leaves undefined are read as C1 controls by lenient readers.
 _WESTERN = {chr(b): b for b in range(0x80, 0x100)}
 for _b in range(0x80, 0xA0):
@@ -194,7 +196,7 @@ def repair_encoding(df: DataFrame, key: str, fields: list[str], only_cases: bool
     any length are read whole; other columns are ignored.  Narrow: no shuffle.
     """
     kind = df.schema[key].dataType.simpleString()
-    target = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), ("field_name", pa.string()), ("repaired", pa.string()), ("lost", pa.bool_()), ("is_case", pa.bool_())])
+    target = pa.schema([(key, arrow_type(df, key)), ("field_name", pa.string()), ("repaired", pa.string()), ("lost", pa.bool_()), ("is_case", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import arrow_type
 from ..functions.storage import materialize
 
 _LATIN_OF_CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮаеорсухіѕјԁһӏԛԝ", "ABESIJKMHOPCTXYaeopcyxisjdhlqw"))
@@ -107,15 +108,11 @@ def _visible(folded: str) -> bool:
     return not (not folded or folded.isspace())
 
 
-def _key_type(kind: str) -> pa.DataType:
-    return pa.int64() if kind == "bigint" else pa.string()
-
-
 def _folded(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, stored, canon, suspects``: digests of the text as stored and folded, and its suspicious tokens."""
     kind = df.schema[key].dataType.simpleString()
     pair = pa.struct([("raw", pa.string()), ("fixed", pa.string())])
-    target = pa.schema([(key, _key_type(kind)), ("stored", pa.binary()), ("canon", pa.binary()), ("suspects", pa.list_(pair))])
+    target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary()), ("suspects", pa.list_(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +166,7 @@ def _with_words(folded: DataFrame, key: str, valid: DataFrame, small: bool) -> D
 
 def _repaired(df: DataFrame, key: str, text: str, words: DataFrame, digests: bool) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
-    target = pa.schema([(key, _key_type(kind)), ("stored", pa.binary()), ("canon", pa.binary())] if digests else [(key, _key_type(kind)), ("text", pa.string())])
+    target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary())] if digests else [(key, arrow_type(df, key)), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrow import arrow_type
+
 #: Where the public tokenizers' files lie; a parameter of every function that needs them.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern that belongs to the vocabulary: a fixed value.
@@ -143,7 +145,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     kind = df.schema[key].dataType.simpleString()
     value = pa.int32() if counts_only else pa.list_(pa.int32())
     name = "n_tokens" if counts_only else "ids"
-    target = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), (name, value)])
+    target = pa.schema([(key, arrow_type(df, key)), (name, value)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = worker(path)
