@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def scratch(spark: SparkSession, what: str = "table") -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/quarry-{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -27,9 +34,8 @@ def materialize(df: DataFrame) -> DataFrame:
     and gives the planner true sizes.  The files are removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,6 +42,11 @@ def bm25(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str =
     stats = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     asked = terms.select("term").distinct()
     postings = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return bm25_scores(postings, stats, terms)
+
+
+def bm25_scores(postings: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """``qid, doc_id, score`` from the asked terms' postings (``doc_id, dl, term, tf``) and the corpus statistics (``n_docs, avgdl``)."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", "qtf", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

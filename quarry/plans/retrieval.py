@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.storage import scratch
 from ..functions.text import best_sentence, excerpt, tokenize
-from ..operators import retrieval as R
+from ..operators import index, retrieval as R
 from ..sources.tables import table
 
 TOK = "list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '[가-힣A-Za-z0-9_./+-]+'), lambda x: lower(x)), lambda x: length(x) >= 2)"
@@ -29,6 +30,13 @@ def bm25_topk(spark, sf_dir):
     return R.top_k(_case_scores(spark, sf_dir), 10)
 
 
+def indexed_search(spark, sf_dir):
+    """The same search over a stored index."""
+    at = scratch(spark, "index")
+    index.build(table(spark, sf_dir, "documents"), at)
+    return index.search(spark, at, R.query_terms(_questions(spark, sf_dir), "id", "question"), 10)
+
+
 def bm25_term_stats(spark, sf_dir):
     """Document frequency and inverse document frequency of every term."""
     return R.term_stats(table(spark, sf_dir, "documents")).withColumn("idf", F.round("idf", 6))
@@ -181,4 +189,5 @@ SQL = {
         h AS (SELECT *, len(list_filter(q, lambda t: contains(lower(s), t))) AS hits FROM s)
         SELECT qid, doc_id, substr(s, 1, 260) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY hits DESC, i) AS r FROM h) WHERE r = 1""",
 }
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_term_stats, doc_lengths, cosine_topk, rrf_fusion, hybrid_evidence_rank, relevance_threshold, per_group_cap, mmr_diversify, best_snippet, evidence_excerpt, keyword_boost_rank, token_jaccard_pairs)}
+SQL["indexed_search"] = SQL["bm25_topk"]
+QUERIES = {f.__name__: f for f in (bm25_topk, indexed_search, bm25_term_stats, doc_lengths, cosine_topk, rrf_fusion, hybrid_evidence_rank, relevance_threshold, per_group_cap, mmr_diversify, best_snippet, evidence_excerpt, keyword_boost_rank, token_jaccard_pairs)}

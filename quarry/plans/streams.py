@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.storage import shared_dir
+from ..functions.storage import scratch
 from ..functions.text import normalize_question
 from ..sources.tables import table
 from ..streaming import admission as A
@@ -38,7 +36,7 @@ def event_bursts(spark, sf_dir):
 
 def _to_table(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """Run a stream over what is there, into a table in the shared folder."""
-    at = f"{shared_dir(spark)}/quarry-stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     else:
