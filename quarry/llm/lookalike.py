@@ -41,7 +41,7 @@ def _table() -> dict[int, str]:
             out[o] = ""
         elif category == "Zs":
             out[o] = " "
-        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) or 0xFB00 <= o <= 0xFB06 or 0x2160 <= o <= 0x217F:
+        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) or 0xFB00 <= o <= 0xFB06 or 0x2160 <= o <= 0x217F or 0x2E80 <= o <= 0x2FD5 and unicodedata.decomposition(c):
             out[o] = unicodedata.normalize("NFKC", c)
     out |= {ord(k): v for k, v in _SIGNS.items()}
     return {k: "".join(_SIGNS.get(c, c) for c in v) for k, v in out.items()}
