@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
@@ -9,3 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that only few texts are Python objects at a time."""
+    for b in batches:
+        for begin in range(0, b.num_rows, rows):
+            yield b.slice(begin, rows)

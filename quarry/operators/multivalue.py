@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrow import arrow_type
+from ..functions.arrow import arrow_type, slices
 
 _DAY = r"[월화수목금토일](?:요일)?"
 _NUM = r"[0-9０-９]{1,2}"
@@ -202,7 +202,7 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, bool], min_values: i
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, ids, fs, ps, vs = b.column(0).to_pylist(), [], [], [], []
             for k, f in enumerate(names):
                 for id_, text in zip(keys, b.column(k + 1).to_pylist()):
