@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrow import arrow_type
+from ..functions.arrow import arrow_type, slices
 from ..functions.storage import materialize
 
 _LATIN_OF_CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮаеорсухіѕјԁһӏԛԝ", "ABESIJKMHOPCTXYaeopcyxisjdhlqw"))
@@ -115,7 +115,7 @@ def _folded(df: DataFrame, key: str, text: str) -> DataFrame:
     target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary()), ("suspects", pa.list_(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for id_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = fold(t)
@@ -169,7 +169,7 @@ def _repaired(df: DataFrame, key: str, text: str, words: DataFrame, digests: boo
     target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary())] if digests else [(key, arrow_type(df, key)), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for id_, t, w in zip(*(b.column(i).to_pylist() for i in range(3))):
                 out = None if t is None else repair(fold(t), {x["raw"]: x["fixed"] for x in w or ()})
@@ -213,3 +213,14 @@ def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     a, b = (of.select("canon", F.col("stored").alias(f"stored_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
     found = a.join(b, "canon").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("stored_a") != F.col("stored_b")))
     return found.select(f"{key}_a", f"{key}_b")
+
+
+def same_look_summary(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, class, n_forms, n_rows`` of every text with a visible character: its class is the smallest key of the same look.
+
+    The form without pairs: its rows are as many as the texts, whatever a class holds.
+    """
+    docs = materialize(same_look_classes(df, key, text))
+    forms = docs.groupBy("canon", "stored").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    classes = forms.groupBy("canon").agg(F.min("least").alias("class"), F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"))
+    return docs.select(key, "canon").join(classes, "canon").select(key, "class", "n_forms", "n_rows")

@@ -78,12 +78,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of equal look."""
+    return lookalike.same_look_summary(table(spark, sf_dir, "documents"))
+
+
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one form."""
     return lookalike.canonical_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_boilerplate, p2_found, p2_posterior, p2_records, p4_found, p4_repaired, p5_found, p5_redacted, p6_ids, p7_packed, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_boilerplate, p2_found, p2_posterior, p2_records, p4_found, p4_repaired, p5_found, p5_redacted, p6_ids, p7_packed, p8_found, p8_classes, p8_canonical)}
 
 _KEYED = """
 keyed AS (

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrow import arrow_type
+from ..functions.arrow import arrow_type, slices
 
 #: Where the public tokenizers' files lie; a parameter of every function that needs them.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -149,10 +149,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = worker(path)
-        for b in batches:
-            for part in range(0, b.num_rows, 256):  # bounds a batch of ids
-                rows = b.slice(part, 256)
-                ids = [w.ids(t) for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(target[0].type), pa.array([len(x) for x in ids] if counts_only else ids, value)], schema=target)
+        for rows in slices(batches, 256):
+            ids = [w.ids(t) for t in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(target[0].type), pa.array([len(x) for x in ids] if counts_only else ids, value)], schema=target)
 
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, {name} {'int' if counts_only else 'array<int>'}")

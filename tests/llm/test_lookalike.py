@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from quarry.llm.lookalike import TO_LATIN, canonical_text, fold, same_look_pairs, suspects
+from quarry.llm.lookalike import TO_LATIN, canonical_text, fold, same_look_pairs, same_look_summary, suspects
 
 SKELETON = {ord(k): v for k, v in TO_LATIN.items()}
 
@@ -44,6 +44,15 @@ def test_pairs_against_brute_force(spark):
     assert same_look_pairs(df.limit(0)).count() == 0
 
 
+def test_classes_agree_with_pairs(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in same_look_summary(df).collect()}
+    assert set(got) == {i for i, t in rows() if t and not fold(t).isspace() and fold(t)}
+    assert got[1]["n_forms"] == 4 and got[1]["n_rows"] == 5 and got[5]["class"] == 1 and got[12]["class"] == 10
+    for a, b in brute(rows()):
+        assert got[a]["class"] == got[b]["class"]
+
+
 def test_repair_needs_the_corpus(spark):
     df = spark.createDataFrame([(1, "the PBL course"), (2, "the РВL course"), (3, "the ХYZQ course"), (4, None), (5, " ")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in canonical_text(df).collect()}
