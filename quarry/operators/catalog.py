@@ -37,3 +37,30 @@ def longest_contained(texts: DataFrame, names: DataFrame, key: str, text: str, n
     found = parts.join(titles, "title", "left_semi")
     best = F.rank().over(W.partitionBy(key).orderBy(F.desc("n")))
     return found.withColumn("r", best).where("r = 1").select(key, "title")
+
+
+def weekday(question: Column) -> Column:
+    """The first weekday that a question names, by its full name; null without one."""
+    day = F.regexp_extract(question, "([월화수목금토일])요일", 1)
+    return F.when(day != "", day)
+
+
+def period_range(question: Column) -> tuple[Column, Column]:
+    """First and last period that a question names (``3-5교시``, ``2교시``); null without one."""
+    number = lambda p: F.regexp_extract(question, p, 1).try_cast("int")
+    first = number(r"([0-9]{1,2})(?:\s*(?:-|~|부터)\s*[0-9]{1,2})?\s*교시")
+    return first, F.coalesce(number(r"[0-9]{1,2}\s*(?:-|~|부터)\s*([0-9]{1,2})\s*교시"), first)
+
+
+def conjunctive_matches(facts: DataFrame, asked: DataFrame, dims: list[str], item: str) -> DataFrame:
+    """``dims..., item``: the items with a fact that meets every condition of a row of ``asked`` (null: no condition).
+
+    Each fact offers itself under every choice of conditions, so that an equality join
+    does what would be a nested loop over questions and facts; four dimensions at most.
+    """
+    if not 1 <= len(dims) <= 4:
+        raise ValueError("from one to four dimensions")
+    masks = F.array(*[F.struct(*[(F.col(d) if m >> i & 1 else F.lit(None).cast(facts.schema[d].dataType)).alias(d) for i, d in enumerate(dims)]) for m in range(1 << len(dims))])
+    offers = facts.select(*dims, item).distinct().select(F.col(item), F.explode(masks).alias("m")).select(item, *[F.col(f"m.{d}").alias(f"_{d}") for d in dims]).distinct()
+    on = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]
+    return asked.select(*dims).distinct().join(offers, on).select(*dims, item)

@@ -66,7 +66,7 @@ def explicit_absence(spark, sf_dir):
 def first_evidence_line(spark, sf_dir):
     """The first line of each text that speaks of team work."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("팀 과제|모둠|명씩|[Tt]eam"))
-    return _syllabus(spark, sf_dir).where(F.col("text").isNotNull() & (F.size(lines) > 0)).select("record_id", F.element_at(lines, 1).alias("line"))
+    return _syllabus(spark, sf_dir).where(F.col("text").isNotNull() & (F.size(lines) > 0)).select("record_id", F.get(lines, F.lit(0)).alias("line"))
 
 
 def feature_evidence(spark, sf_dir):
@@ -126,6 +126,16 @@ def search_ahead(spark, sf_dir):
     return c.select("course_name", T.bare_code(F.col("course_code")).alias("code"), "professor").distinct()
 
 
+def question_filters(spark, sf_dir):
+    """What users filter by (a weekday, a code, both): how many questions ask it, how many courses meet it."""
+    q = table(spark, sf_dir, "chat_turns").where("role = 'user'").select(C.weekday(F.col("text")).alias("day"), F.get(T.course_codes(F.col("text")), F.lit(0)).alias("code"))
+    q = q.where("day is not null or code is not null").groupBy("day", "code").agg(F.count("*").alias("n_questions"))
+    facts = _syllabus(spark, sf_dir).select(T.bare_code(F.col("course_code")).alias("code"), F.explode("schedule_entries").alias("e")).select("code", F.col("e.day").alias("day")).where("code <> '' and day is not null").withColumn("course", F.col("code"))
+    n = C.conjunctive_matches(facts, q, ["day", "code"], "course").groupBy(F.col("day").alias("_d"), F.col("code").alias("_c")).agg(F.count("*").alias("n"))
+    j = q.join(n, F.col("day").eqNullSafe(F.col("_d")) & F.col("code").eqNullSafe(F.col("_c")), "left")
+    return j.select("day", "code", "n_questions", F.coalesce("n", F.lit(0)).alias("n_courses"))
+
+
 def attachment_kinds(spark, sf_dir):
     """Extension of each attachment from its URL, else its path, else .bin, against the stored one."""
     c = _courses(spark, sf_dir).where("attachment_url <> '' or attachment_path <> ''")
@@ -162,9 +172,13 @@ SQL = {
     "schedule_filter": "SELECT record_id, array_to_string(list_transform(h, lambda e: e.display), ' / ') AS schedule FROM (SELECT record_id, list_filter(schedule_entries, lambda e: e.day = '목' AND e.end_period >= 2 AND e.start_period <= 4) AS h FROM syllabus) WHERE len(h) > 0",
     "group_codes": f"SELECT professor, string_agg(code, ',' ORDER BY code) AS codes, count(*) AS n FROM (SELECT DISTINCT professor, {_BARE} AS code FROM syllabus WHERE NOT {_MISS.format(c='professor')}) WHERE code <> '' GROUP BY professor",
     "search_ahead": f"SELECT DISTINCT course_name, {_BARE} AS code, professor FROM courses WHERE contains(lower(concat_ws(' ', course_name, course_code, professor)), '영상')",
+    "question_filters": f"""WITH t AS (SELECT nullif(regexp_extract(text, '([월화수목금토일])요일', 1), '') AS day, nullif(upper(regexp_extract(regexp_extract(regexp_replace(text, '([^A-Za-z0-9])', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9])[A-Za-z]{{2,}}[0-9]{{3}}(?:$|[^A-Za-z0-9])'), '[A-Za-z]{{2,}}[0-9]{{3}}')), '') AS code FROM chat_turns WHERE role = 'user'),
+        q AS (SELECT day, code, count(*) AS n_questions FROM t WHERE day IS NOT NULL OR code IS NOT NULL GROUP BY day, code),
+        f AS (SELECT DISTINCT {_BARE} AS code, e.day AS day FROM (SELECT course_code, unnest(schedule_entries) AS e FROM syllabus))
+        SELECT q.day, q.code, n_questions, (SELECT count(DISTINCT f.code) FROM f WHERE f.code <> '' AND f.day IS NOT NULL AND (q.day IS NULL OR f.day = q.day) AND (q.code IS NULL OR f.code = q.code)) AS n_courses FROM q""",
     "attachment_kinds": f"SELECT coalesce({_EXT.format(c='attachment_url')}, {_EXT.format(c='attachment_path')}, '.bin') AS extension, attachment_ext, count(*) AS n FROM courses WHERE attachment_url <> '' OR attachment_path <> '' GROUP BY 1, 2",
 }
 QUERIES = {
     f.__name__: f
-    for f in (catalog_filter_eq, catalog_filter_and, catalog_filter_or, catalog_count, catalog_enumerated, title_contains, longest_name_match, explicit_absence, first_evidence_line, feature_evidence, interval_overlap, point_in_interval, clock_from_period, credit_canonical, class_number_padded, schedule_filter, group_codes, search_ahead, attachment_kinds)
+    for f in (catalog_filter_eq, catalog_filter_and, catalog_filter_or, catalog_count, catalog_enumerated, title_contains, longest_name_match, explicit_absence, first_evidence_line, feature_evidence, interval_overlap, point_in_interval, clock_from_period, credit_canonical, class_number_padded, schedule_filter, group_codes, search_ahead, question_filters, attachment_kinds)
 }

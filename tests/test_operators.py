@@ -131,3 +131,15 @@ def test_percentile_of_a_large_group(spark):
     got = Q.percentile_by_rank(df, ["k"], "v", 0.95).first()
     want = sorted(r["v"] for r in df.collect())[int(0.95 * 249_999)]
     assert got["n"] == 250_000 and got["percentile"] == want
+
+
+def test_question_conditions(spark):
+    from quarry.operators import catalog as C
+
+    df = spark.createDataFrame([("금요일 3-5교시 수업",), ("2교시",), ("토 3부터 4교시, 월요일",), ("none",), (None,)], "q string")
+    got = [tuple(r) for r in df.select(C.weekday(F.col("q")), *C.period_range(F.col("q"))).collect()]
+    assert got == [("금", 3, 5), (None, 2, 2), ("월", 3, 4), (None, None, None), (None, None, None)]
+    facts = spark.createDataFrame([("월", "3", "A"), ("월", "2", "B"), ("화", "3", "A"), (None, "3", "C")], "day string, credit string, course string")
+    asked = spark.createDataFrame([("월", None), (None, "3"), ("화", "2"), ("월", "3"), ("월", "3")], "day string, credit string")
+    got = sorted(map(str, map(tuple, C.conjunctive_matches(facts, asked, ["day", "credit"], "course").collect())))
+    assert got == sorted(map(str, [("월", None, "A"), ("월", None, "B"), (None, "3", "A"), (None, "3", "C"), ("월", "3", "A")]))
