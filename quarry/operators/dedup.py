@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.storage import materialize
+from ..functions.storage import materialize, scratch
 
 
 def shingles(text: Column, words: int = 5) -> Column:
@@ -53,30 +53,30 @@ def near_duplicate_links(classes: DataFrame, threshold: float = 0.8) -> DataFram
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
-def greedy_survivors(classes: DataFrame, links: DataFrame, rank: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``class, keeper``: best first, each class survives unless a better survivor is linked to it.
+def greedy_survivors(classes: DataFrame, links: DataFrame, rank: DataFrame) -> DataFrame:
+    """``class, keeper``: best first, each class survives unless a better survivor is linked to it; the best such one keeps it.
 
-    ``rank`` gives ``class, rank`` (smaller is better).  Every round settles all classes at
-    once that have no undecided better neighbour, which is what the order one by one gives.
+    ``rank`` gives ``class, rank`` (smaller is better).  Every round drops all classes at
+    once that are linked to a better one that waits for none, until no class waits; that
+    is what the order one by one gives.  Each round settles the best waiting class at
+    least, so the rounds end; a chain takes half as many as it has classes.
     """
     better = links.select(F.col("a").alias("class"), F.col("b").alias("other")).union(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
     r = rank.select(F.col("class").alias("other"), F.col("rank").alias("other_rank"))
     edges = materialize(better.join(rank, "class").join(r, "other").where("other_rank < rank").select("class", "other", "other_rank"))
-    state = materialize(classes.select("class").join(edges.select("class").distinct(), "class", "left_anti").select("class", F.col("class").alias("keeper")))
-    open_ = materialize(edges.select("class").distinct())
-    for _ in range(max_rounds):
-        kept = state.where("class = keeper").select(F.col("class").alias("other"))
-        gone = edges.join(open_, "class", "left_semi").join(kept, "other", "left_semi").groupBy("class").agg(F.min_by("other", "other_rank").alias("keeper"))
-        waits = edges.join(open_, "class", "left_semi").join(open_.select(F.col("class").alias("other")), "other", "left_semi").select("class").distinct()
-        free = open_.join(gone, "class", "left_anti").join(waits, "class", "left_anti").select("class", F.col("class").alias("keeper"))
-        settled = materialize(gone.unionByName(free))
-        if settled.isEmpty():
+    waiting, at, n = edges.select("class", "other"), scratch(edges.sparkSession, "gone"), 0
+    dropped = waiting.select("class").schema
+    while True:
+        sure = waiting.select("other").distinct().join(waiting.select(F.col("class").alias("other")), "other", "left_anti")
+        waiting.join(sure, "other", "left_semi").select("class").distinct().write.parquet(f"{at}/round={n}")
+        gone = edges.sparkSession.read.schema(dropped).parquet(f"{at}/round={n}")
+        waiting = materialize(waiting.join(gone, "class", "left_anti").join(gone.select(F.col("class").alias("other")), "other", "left_anti").select("class", "other"))
+        if waiting.isEmpty():
             break
-        state = state.unionByName(settled)
-        open_ = materialize(open_.join(settled, "class", "left_anti"))
-        if open_.isEmpty():
-            break
-    return state
+        n += 1
+    gone = edges.sparkSession.read.schema(dropped).parquet(at).select("class")
+    keepers = edges.join(gone, "class", "left_semi").join(gone.select(F.col("class").alias("other")), "other", "left_anti").groupBy("class").agg(F.min_by("other", "other_rank").alias("keeper"))
+    return classes.join(gone, "class", "left_anti").select("class", F.col("class").alias("keeper")).unionByName(keepers)
 
 
 def coalesce_fields(df: DataFrame, by: list[Column], fields: list[str], order: str) -> DataFrame:

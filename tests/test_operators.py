@@ -109,6 +109,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["class"]: r["keeper"] for r in got.collect()} == keeper
 
 
+def test_greedy_survivors_of_a_long_chain(spark):
+    """A chain settles few classes a round; a class that several survivors are linked to goes to the best, however late that one is settled."""
+    links = [(i, i + 1) for i in range(1, 64)] + [(100, 101), (101, 102), (102, 104), (103, 104)]
+    near = {i: set() for i in [*range(1, 65), *range(100, 106)]}
+    for a, b in links:
+        near[a].add(b), near[b].add(a)
+    kept, keeper = [], {}
+    for c in sorted(near):
+        keeper[c] = next((k for k in kept if k in near[c]), c)
+        kept += [c] if keeper[c] == c else []
+    classes = spark.createDataFrame([(c,) for c in near], "class long")
+    rank = classes.select("class", F.col("class").alias("rank"))
+    got = D.greedy_survivors(classes, spark.createDataFrame(links, "a long, b long"), rank).collect()
+    assert len(got) == len(near) and {r["class"]: r["keeper"] for r in got} == keeper and keeper[64] == 63 and keeper[104] == 102
+    none = spark.createDataFrame([], "a long, b long")
+    assert {r["class"]: r["keeper"] for r in D.greedy_survivors(classes, none, rank).collect()} == {c: c for c in near}
+
+
 def test_refresh(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "id string, content string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "id string, content string")
