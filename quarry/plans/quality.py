@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import quality as Q
+from ..operators.multivalue import split_packed
 from ..sources.tables import table
 from .catalog import _BARE, _MISS
 
@@ -60,6 +61,25 @@ def set_preservation(spark, sf_dir):
     return days(j).groupBy("code").agg(F.count("*").alias("n_days"), F.count("there").alias("n_kept"), (F.count("*") == F.count("there")).alias("preserved"))
 
 
+#: A day in an object, complete or broken off, whatever quotes and escapes are around it.
+_DAY_OF_OBJECT = r"""["'\\]day["'\\]+\s*:\s*["'\\]+(u[0-9a-fA-F]{4}|[월화수목금토일])"""
+
+
+def set_preservation_whole(spark, sf_dir):
+    """Like ``set_preservation``, with the days of the course list read from every notation of the field.
+
+    Days are those of the meetings that problem 3 reads and those of objects that break off.
+    """
+    s = table(spark, sf_dir, "syllabus").select(T.bare_code(F.col("course_code")).alias("code"), F.explode("schedule_entries").alias("e")).select("code", F.col("e.day").alias("day")).where("code <> ''").distinct()
+    c = table(spark, sf_dir, "courses").select(T.bare_code(F.col("course_code")).alias("code"), "schedule_entries_json").where("code <> ''")
+    read = split_packed(c, "code", {"schedule_entries_json": True}, 1).select("code", F.regexp_extract("value", r"^(?:[0-9０-９]{1,4}\s*분반\s*)?([월화수목금토일])", 1).alias("day"))
+    letter = lambda x: F.coalesce(*[F.when(F.lower(x) == f"u{ord(d):04x}", d) for d in "월화수목금토일"], F.when(F.length(x) == 1, x))
+    named = c.select("code", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("schedule_entries_json", F.lit(_DAY_OF_OBJECT), F.lit(1)), letter))).alias("day"))
+    days = read.union(named).where("day <> ''").distinct()
+    j = days.join(s.withColumn("there", F.lit(1)), ["code", "day"], "left")
+    return j.groupBy("code").agg(F.count("*").alias("n_days"), F.count("there").alias("n_kept"), (F.count("*") == F.count("there")).alias("preserved"))
+
+
 def redaction_counts(spark, sf_dir):
     """Matches per redaction rule and site, each counted on the text as the rules before left it."""
     _, counts = Q.redact(F.col("text"))
@@ -116,4 +136,4 @@ SQL = {
     "mojibake_signals": "SELECT site_id, CAST(count_if(contains(text, '�')) AS BIGINT) AS replaced, CAST(count_if(regexp_matches(text, '[À-ÿ]{3}')) AS BIGINT) AS latin, CAST(count_if(regexp_matches(text, '[慴扥湡潦牧]{2}')) AS BIGINT) AS han FROM syllabus WHERE text IS NOT NULL GROUP BY site_id",
     "domain_checks": "SELECT s.site_id, found, n, found = host AS agrees FROM (SELECT site_id, regexp_extract(coalesce(syllabus_url, ''), '^https?://([^/?#]+)', 1) AS found, count(*) AS n FROM syllabus GROUP BY 1, 2) s LEFT JOIN sites USING (site_id)",
 }
-QUERIES = {f.__name__: f for f in (missingness_report, frequency_counts, median_minmax_chars, distinct_counts, format_counts, char_count_errors, exact_p95, set_preservation, redaction_counts, redaction_residuals, safe_url_filter, mojibake_signals, domain_checks)}
+QUERIES = {f.__name__: f for f in (missingness_report, frequency_counts, median_minmax_chars, distinct_counts, format_counts, char_count_errors, exact_p95, set_preservation, set_preservation_whole, redaction_counts, redaction_residuals, safe_url_filter, mojibake_signals, domain_checks)}

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import dedup as D, quality as Q, retrieval as R, segment as S
-from quarry.plans import text as plans_text
+from quarry.plans import quality as plans_quality, text as plans_text
 
 
 def one(spark, column, value, kind="string"):
@@ -161,3 +162,22 @@ def test_question_conditions(spark):
     asked = spark.createDataFrame([("월", None), (None, "3"), ("화", "2"), ("월", "3"), ("월", "3")], "day string, credit string")
     got = sorted(map(str, map(tuple, C.conjunctive_matches(facts, asked, ["day", "credit"], "course").collect())))
     assert got == sorted(map(str, [("월", None, "A"), ("월", None, "B"), (None, "3", "A"), (None, "3", "C"), ("월", "3", "A")]))
+
+
+def test_days_of_every_notation(spark, tmp_path):
+    """Each course holds its meetings in another notation; one day of each isn't in the extracted records."""
+    shown = {"월": "월요일 1-2교시 (09:00-10:50), 가온관 101", "금": "금요일 3교시 (11:00-11:50)", "토": "토요일 4교시"}
+    objects = [{"class_no": "01", "day": d, "day_name": f"{d}요일", "display": v} for d, v in shown.items()]
+    plain = json.dumps(objects, ensure_ascii=False)
+    fields = {
+        "array": plain, "ascii": json.dumps(objects), "literal": repr(objects),
+        "nested": json.dumps(plain, ensure_ascii=False), "nested_ascii": json.dumps(json.dumps(objects)),
+        "texts": json.dumps([*shown.values()], ensure_ascii=False), "row": ";".join(f'"{v}"' for v in shown.values()),
+        "objects": ";".join(json.dumps(x, ensure_ascii=False) for x in objects), "cut": plain[: plain.index('"day_name": "토')], "cut_literal": repr(objects)[: repr(objects).index("'day_name': '토")],
+    }
+    courses = [(f"{n}101", f) for n, f in fields.items()] + [("none1", "null"), ("none2", "[]"), ("none3", None), (None, plain)]
+    spark.createDataFrame(courses, "course_code string, schedule_entries_json string").write.parquet(f"{tmp_path}/courses.parquet")
+    kept = [(f"{n}101", [(d,) for d in "월금"]) for n in fields]
+    spark.createDataFrame(kept, "course_code string, schedule_entries array<struct<day: string>>").write.parquet(f"{tmp_path}/syllabus.parquet")
+    got = {r["code"]: (r["n_days"], r["n_kept"], r["preserved"]) for r in plans_quality.set_preservation_whole(spark, str(tmp_path)).collect()}
+    assert got == {f"{n}101".upper(): (3, 2, False) for n in fields}
