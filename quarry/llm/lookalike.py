@@ -48,8 +48,12 @@ def _table() -> dict[int, str]:
 
 
 _FOLD = _table()
-_TOKEN = re.compile(r"\w+")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+#: Combining marks belong to the word they stand in.
+_MARKS = "".join(c for o in range(0x300, sys.maxunicode + 1) if unicodedata.category(c := chr(o))[0] == "M")
+#: The rare planes stand apart, behind a look at the plane: one set of all marks would be searched one by one.
+_MARK = "(?:[" + "".join(c for c in _MARKS if c <= "\uffff") + "]|(?=[\U00010000-\U0010ffff])[" + "".join(c for c in _MARKS if c > "\uffff") + "])"
+_TOKEN = re.compile(rf"\w+(?:{_MARK}+\w*)*")
+_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 _ALIKE = re.compile("[" + "".join(TO_LATIN) + "]")
 #: Letters that resemble no other script's: Cyrillic, Greek, and all others (digits count with these).
 _OWN_CYRILLIC = re.compile("(?![" + "".join(_LATIN_OF_CYRILLIC) + "])[Ѐ-ԯ]")
@@ -69,14 +73,17 @@ def suspects(folded: str) -> dict[str, str]:
 
     The script of a token is that of its letters that resemble no other script's; a token
     of look-alikes only takes the script of the text's other letters, Latin if they are.
+    Letters are looked at without their accents, composed or not.
     """
     if not _FOREIGN.search(folded):
         return {}
-    own_cyrillic, own_greek = bool(_OWN_CYRILLIC.search(folded)), bool(_OWN_GREEK.search(folded))
-    if not (own_cyrillic or own_greek or _ALIKE.search(folded)):
+    letters = unicodedata.normalize("NFD", folded)
+    own_cyrillic, own_greek = bool(_OWN_CYRILLIC.search(letters)), bool(_OWN_GREEK.search(letters))
+    if not (own_cyrillic or own_greek or _ALIKE.search(letters)):
         return {}
     out: dict[str, str] = {}
-    for token in set(_TOKEN.findall(folded)):
+    for raw in set(_TOKEN.findall(folded)):
+        token = raw if raw.isascii() else unicodedata.normalize("NFD", raw)
         cyrillic, greek = bool(_OWN_CYRILLIC.search(token)), bool(_OWN_GREEK.search(token))
         if cyrillic and greek:
             continue
@@ -91,13 +98,13 @@ def suspects(folded: str) -> dict[str, str]:
         if script:
             fixed = "".join(script.get(c, c) for c in fixed)
         if fixed != token:
-            out[token] = fixed
+            out[raw] = unicodedata.normalize("NFC", fixed)
     return out
 
 
 def repair(folded: str, words: dict[str, str]) -> str:
     """The folded text with the given tokens replaced."""
-    return _TOKEN.sub(lambda m: words.get(m.group(), m.group()), folded) if words else folded
+    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: words.get(m.group(), m.group()), folded)) if words else folded
 
 
 def _digest(text: str) -> bytes:
