@@ -58,11 +58,11 @@ def cosine_topk(spark, sf_dir):
     return R.cosine_top_k(*_vectors(spark, sf_dir), 10).select("qid", "vec_id", "cosine", "rank")
 
 
-def _lists(spark, sf_dir):
-    """Lexical and semantic lists for the query documents that have a vector: their first line against all documents, their vector against all vectors."""
+def _lists(spark, sf_dir, whole=False):
+    """Lexical and semantic lists for the query documents that have a vector: their first line, or their whole text, against all documents, their vector against all vectors."""
     docs = table(spark, sf_dir, "documents")
-    first = docs.where(F.col("doc_id") % 100 == 0).select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    lexical = R.top_k(R.bm25(docs, R.query_terms(first, "doc_id", "line")), 15)
+    asked = docs.where(F.col("doc_id") % 100 == 0).select("doc_id", (F.col("text") if whole else F.substring_index("text", "\n", 1)).alias("asked"))
+    lexical = R.top_k(R.bm25(docs, R.query_terms(asked, "doc_id", "asked")), 15)
     semantic = R.cosine_top_k(*_vectors(spark, sf_dir), 24).withColumnRenamed("vec_id", "doc_id")
     return lexical, semantic
 
@@ -72,8 +72,13 @@ def rrf_fusion(spark, sf_dir):
     return R.rrf(list(_lists(spark, sf_dir)))
 
 
-def _hybrid(spark, sf_dir):
-    return R.hybrid_evidence(*_lists(spark, sf_dir))
+def rrf_fusion_whole(spark, sf_dir):
+    """Both lists fused by reciprocal rank; the whole text of each query document is its query."""
+    return R.rrf(list(_lists(spark, sf_dir, True)))
+
+
+def _hybrid(spark, sf_dir, whole=False):
+    return R.hybrid_evidence(*_lists(spark, sf_dir, whole))
 
 
 def hybrid_evidence_rank(spark, sf_dir):
@@ -81,11 +86,21 @@ def hybrid_evidence_rank(spark, sf_dir):
     return R.top_k(_hybrid(spark, sf_dir), 7, score="evidence").select("qid", "doc_id", "evidence", "rank")
 
 
+def hybrid_evidence_rank_whole(spark, sf_dir):
+    """The seven best by combined evidence; the whole text of each query document is its query."""
+    return R.top_k(_hybrid(spark, sf_dir, True), 7, score="evidence").select("qid", "doc_id", "evidence", "rank")
+
+
 def relevance_threshold(spark, sf_dir):
     """What passes the absolute and the relative floor of evidence."""
     return R.relevance_threshold(_hybrid(spark, sf_dir)).select("qid", "doc_id", "evidence")
 
 
+def relevance_threshold_whole(spark, sf_dir):
+    """What passes the floors of evidence; the whole text of each query document is its query."""
+    return R.relevance_threshold(_hybrid(spark, sf_dir, True)).select("qid", "doc_id", "evidence")
+
+
 def per_group_cap(spark, sf_dir):
     """The 30 best per question, at most two of a course."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "course_code")
@@ -190,4 +205,4 @@ SQL = {
         SELECT qid, doc_id, substr(s, 1, 260) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY hits DESC, i) AS r FROM h) WHERE r = 1""",
 }
 SQL["indexed_search"] = SQL["bm25_topk"]
-QUERIES = {f.__name__: f for f in (bm25_topk, indexed_search, bm25_term_stats, doc_lengths, cosine_topk, rrf_fusion, hybrid_evidence_rank, relevance_threshold, per_group_cap, mmr_diversify, best_snippet, evidence_excerpt, keyword_boost_rank, token_jaccard_pairs)}
+QUERIES = {f.__name__: f for f in (bm25_topk, indexed_search, bm25_term_stats, doc_lengths, cosine_topk, rrf_fusion, rrf_fusion_whole, hybrid_evidence_rank, hybrid_evidence_rank_whole, relevance_threshold, relevance_threshold_whole, per_group_cap, mmr_diversify, best_snippet, evidence_excerpt, keyword_boost_rank, token_jaccard_pairs)}

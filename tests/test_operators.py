@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import dedup as D, quality as Q, retrieval as R, segment as S
-from quarry.plans import quality as plans_quality, text as plans_text
+from quarry.plans import quality as plans_quality, retrieval as plans_retrieval, text as plans_text
 
 
 def one(spark, column, value, kind="string"):
@@ -181,3 +181,27 @@ def test_days_of_every_notation(spark, tmp_path):
     spark.createDataFrame(kept, "course_code string, schedule_entries array<struct<day: string>>").write.parquet(f"{tmp_path}/syllabus.parquet")
     got = {r["code"]: (r["n_days"], r["n_kept"], r["preserved"]) for r in plans_quality.set_preservation_whole(spark, str(tmp_path)).collect()}
     assert got == {f"{n}101".upper(): (3, 2, False) for n in fields}
+
+
+def test_fused_lists_of_whole_texts(spark, tmp_path):
+    """Documents that share only later lines with the query document are in its lists, with the scores of the whole text."""
+    texts = {0: "aa bb\ncc dd cc\nee", 1: "cc xx", 2: "ee yy zz", 3: "aa", 4: "ww", 5: None}
+    vectors = {0: [1.0, 0.0], 1: [0.0, 1.0], 4: [0.6, 0.8]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    words = {i: (t or "").split() for i, t in texts.items()}
+    avg = sum(map(len, words.values())) / len(words)
+    df = lambda t: sum(t in w for w in words.values())
+    part = lambda t, w: np.log(1 + (len(words) - df(t) + 0.5) / (df(t) + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avg))
+    lexical = {i: round(sum(part(t, w) for t in words[0]), 6) for i, w in words.items() if set(w) & set(words[0])}
+    cosine = {0: 1.0, 4: 0.6, 1: 0.0}
+    place = lambda scores: {i: k + 1 for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i)))}
+    a, b = place(lexical), place(cosine)
+    rrf = {i: (1 / (60 + a[i]) if i in a else 0) + (1 / (60 + b[i]) if i in b else 0) for i in a | b}
+    evidence = {i: 0.55 * cosine.get(i, 0) + 0.3 * lexical.get(i, 0) / max(lexical.values()) + 0.15 * rrf[i] / max(rrf.values()) for i in rrf}
+    got = {r["doc_id"]: r["rrf"] for r in plans_retrieval.rrf_fusion_whole(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(rrf, abs=2e-6) and {1, 2} <= set(lexical)
+    got = {r["doc_id"]: r["evidence"] for r in plans_retrieval.hybrid_evidence_rank_whole(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(evidence, abs=2e-6)
+    got = {r["doc_id"] for r in plans_retrieval.relevance_threshold_whole(spark, str(tmp_path)).collect()}
+    assert got == {i for i, e in evidence.items() if e >= max(0.18, 0.42 * max(evidence.values()))}
