@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -12,6 +14,28 @@ from .retrieval import TOK
 #: Words that carry no topic, and particles in the order they are tried.
 STOPWORDS = ("알려줘", "보여줘", "과목", "수업", "강의", "무엇", "누구", "the", "which", "what", "is", "are", "course", "covers")
 SUFFIXES = ("에서는", "에서", "으로", "에게", "까지", "부터", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "로", "도", "만")
+#: Words of one meaning, by group (SURVEY, appendix A).
+SYNONYMS = {
+    "팀활동": ("팀활동", "팀 활동", "팀플", "팀프젝", "팀플젝", "팀 프로젝트", "팀프로젝트", "팀 과제", "팀과제", "팀 협력", "팀협력", "팀워크", "협업", "협동", "조별", "조별 활동", "조별활동", "조별 과제", "조별과제", "조별 프로젝트", "조별플젝", "그룹 활동", "그룹활동", "그룹 프로젝트", "group project", "team project"),
+    "프로젝트": ("프로젝트", "프로젝트형", "프로젝트 중심", "PBL", "캡스톤", "project", "project based learning"),
+    "코딩": ("코딩", "프로그래밍", "개발", "구현", "코드", "coding", "programming"),
+    "실습": ("실습", "실습형", "실습 중심", "실습위주", "실습 위주", "직접 해보는", "practice", "hands-on", "lab"),
+    "발표": ("발표", "프레젠테이션", "presentation", "세미나 발표"),
+    "토론": ("토론", "토의", "discussion", "debate"),
+    "파이썬": ("파이썬", "python"),
+    "R언어": ("R언어", "R 언어", "R프로그래밍", "R 프로그래밍"),
+    "시험": ("시험", "중간고사", "기말고사", "고사", "평가"),
+    "중간고사": ("중간고사", "중간", "midterm"),
+    "기말고사": ("기말고사", "기말", "final"),
+    "과제": ("과제", "숙제", "레포트", "리포트", "assignment", "homework", "보고서"),
+    "퀴즈": ("퀴즈", "쪽지시험", "쪽지 시험", "quiz", "퀴즈형 시험"),
+    "출석": ("출석", "attendance"),
+    "평가": ("평가", "성적", "비율", "배점", "grading"),
+    "영강": ("영강", "영어 수업", "영어수업", "영어 강의", "영어강의", "English"),
+    "학습내용": ("학습내용", "학습 내용", "수업내용", "수업 내용", "강의내용", "강의 내용", "주별학습내용", "주별 학습내용", "커리큘럼", "뭘 배워", "무엇을 배워", "배우는 내용", "다루는 내용"),
+}
+#: Words that are part of unlike ones: encoding and decoding are no programming.
+_BOUNDED = {"코딩": "(?<![인디엔])코딩", "coding": "(?<![a-z])coding(?![a-z])"}
 
 
 def cleaned_text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +65,20 @@ def query_expansion_terms(spark, sf_dir):
     return turns.select("log_id", F.explode(F.array_distinct(F.concat(kept, stems))).alias("term"))
 
 
+def query_expansion_terms_whole(spark, sf_dir):
+    """Like ``query_expansion_terms``, with the tokens of every synonym group that the question's tokens and stems, set in a row, hold a word of."""
+    turns = table(spark, sf_dir, "chat_turns").where("role = 'user'")
+    stem = lambda t: F.coalesce(*[F.when(F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= 2), F.substring(t, F.lit(1), F.length(t) - len(s))) for s in SUFFIXES])
+    kept = F.filter(T.tokenize(F.col("text")), lambda t: ~t.isin(*STOPWORDS))
+    own = F.filter(F.flatten(F.transform(kept, lambda t: F.array(t, stem(t)))), lambda t: t.isNotNull() & ~t.isin(*STOPWORDS))
+    asked = turns.select("log_id", own.alias("own")).withColumn("row", F.array_join("own", " "))
+    added = []
+    for key, words in SYNONYMS.items():
+        held = "|".join(_BOUNDED.get(w, re.escape(w)) for w in dict.fromkeys(w.lower() for w in (key, *words)))
+        added.append(F.when(F.col("row").rlike(held), T.tokenize(F.lit(" ".join(words)))).otherwise(F.array().cast("array<string>")))
+    return asked.select("log_id", F.explode(F.array_distinct(F.concat("own", *added))).alias("term"))
+
+
 def question_keys(spark, sf_dir):
     """How often each question was asked, by its cache key."""
     turns = table(spark, sf_dir, "chat_turns").where("role = 'user' and text is not null")
@@ -94,4 +132,4 @@ SQL["section_priority_rank"] = f"""WITH l AS (SELECT record_id, site_id, unnest(
     n AS (SELECT *, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY record_id, site_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'body') AS section FROM l),
     p AS (SELECT site_id, section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM n WHERE trim(line, ' ') <> '' GROUP BY 1, 2)
     SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n_chars DESC, section) AS rank FROM p"""
-QUERIES = {f.__name__: f for f in (cleaned_text_lengths, normalized_titles, code_extraction, query_expansion_terms, question_keys, fixed_window_chunks, section_chunks, section_priority_rank)}
+QUERIES = {f.__name__: f for f in (cleaned_text_lengths, normalized_titles, code_extraction, query_expansion_terms, query_expansion_terms_whole, question_keys, fixed_window_chunks, section_chunks, section_priority_rank)}

@@ -205,3 +205,17 @@ def test_fused_lists_of_whole_texts(spark, tmp_path):
     assert got == pytest.approx(evidence, abs=2e-6)
     got = {r["doc_id"] for r in plans_retrieval.relevance_threshold_whole(spark, str(tmp_path)).collect()}
     assert got == {i for i, e in evidence.items() if e >= max(0.18, 0.42 * max(evidence.values()))}
+
+
+def test_expansion_by_synonyms(spark, tmp_path):
+    asked = ["Quiz 있나", "그룹은 활동 많아", "인코딩 방식", "바이브코딩 수업", "encoding table", "퀴즈와 attendance", "the course", None]
+    quiz, team = {"퀴즈", "쪽지시험", "쪽지", "시험", "quiz", "퀴즈형"}, {"팀활동", "팀플", "협업", "그룹", "활동", "group", "project", "team"}
+    rows = [(i, "user", t) for i, t in enumerate(asked)] + [(90, "assistant", "quiz")]
+    spark.createDataFrame(rows, "log_id long, role string, text string").write.parquet(f"{tmp_path}/chat_turns.parquet")
+    got = {}
+    for r in plans_text.query_expansion_terms_whole(spark, str(tmp_path)).collect():
+        got.setdefault(r["log_id"], []).append(r["term"])
+    assert all(len(set(v)) == len(v) for v in got.values()) and set(got) == {0, 1, 2, 3, 4, 5}
+    assert set(got[0]) == quiz | {"있나"} and team | {"그룹은", "많아"} <= set(got[1])
+    assert got[2] == ["인코딩", "방식"] and got[4] == ["encoding", "table"] and set(got[3]) == {"바이브코딩", "코딩", "프로그래밍", "개발", "구현", "코드", "coding", "programming"}
+    assert set(got[5]) == quiz | {"퀴즈와", "출석", "attendance"} and len(plans_text.SYNONYMS) == 17
