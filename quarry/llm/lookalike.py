@@ -211,15 +211,19 @@ def same_look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of rows whose texts look the same but are not equal as stored: ``key_a, key_b``, the smaller first.
 
-    Only classes with two different stored forms are joined, on the class; texts equal as
-    stored give no pair, texts without a visible character and null ones take no part.
+    Only classes with two different stored forms are joined: each pair of forms with the
+    rows of either, so that copies of one form never meet.  Texts equal as stored give no
+    pair, texts without a visible character and null ones take no part.
     """
     docs = materialize(same_look_classes(df, key, text))
     several = docs.select("canon", "stored").distinct().groupBy("canon").agg(F.count("*").alias("forms")).where("forms > 1").select("canon")
-    of = docs.join(several, "canon", "left_semi")
-    a, b = (of.select("canon", F.col("stored").alias(f"stored_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
-    found = a.join(b, "canon").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("stored_a") != F.col("stored_b")))
-    return found.select(f"{key}_a", f"{key}_b")
+    of = materialize(docs.join(several, "canon", "left_semi"))
+    forms = of.select("canon", "stored").distinct()
+    a, b = (forms.select("canon", F.col("stored").alias(f"stored_{x}")) for x in "ab")
+    pairs = a.join(b, "canon").where("stored_a < stored_b")
+    ka, kb = (of.select("canon", F.col("stored").alias(f"stored_{x}"), F.col(key).alias(f"key_{x}")) for x in "ab")
+    found = pairs.join(ka, ["canon", "stored_a"]).join(kb, ["canon", "stored_b"]).where("key_a <> key_b")
+    return found.select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b"))
 
 
 def same_look_summary(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

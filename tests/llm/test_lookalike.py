@@ -1,3 +1,4 @@
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -78,6 +79,16 @@ def test_accented_look_alikes(spark):
     assert suspects("саfе\u0301") == {"саfе\u0301": "café"} and "ещё" not in suspects("ещё раз")
 
 
+def test_copies_of_one_form_never_meet(spark):
+    """Rows are joined by their form, never by their class alone: N copies and one variant are N candidates, not N * N."""
+    n = 3000
+    df = spark.range(n + 1).selectExpr("id AS doc_id", "IF(id = 7, 'the РВL course', 'the PBL course') AS text")
+    found = same_look_pairs(df)
+    assert sorted(map(tuple, found.collect())) == sorted((min(7, i), max(7, i)) for i in range(n + 1) if i != 7)
+    joins = re.findall(r"Join \[canon#\d+\], \[canon#\d+\], Inner.*", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and not [x for x in joins if re.search(r"key_[ab]|doc_id", x)]
+
+
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(map(tuple, same_look_pairs(df).collect())) == brute([tuple(r) for r in df.select("doc_id", "text").collect()])
