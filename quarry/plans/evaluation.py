@@ -18,18 +18,18 @@ def _ranked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 def case_metrics(spark, sf_dir):
-    """Recall at 5, reciprocal rank and nDCG of each question."""
+    """Recall at 5, reciprocal rank and nDCG of each question whose id is divisible by 100."""
     return E.case_metrics(_questions(spark, sf_dir), _ranked(spark, sf_dir))
 
 
 def recall_at_5(spark, sf_dir):
-    """Mean metrics by category."""
+    """Mean metrics by category, of the questions whose id is divisible by 100 only."""
     m = case_metrics(spark, sf_dir).join(_questions(spark, sf_dir).select(F.col("id").alias("qid"), "category"), "qid")
     return m.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
 def evidence_recall(spark, sf_dir):
-    """Labelled snippets found in the ten best documents."""
+    """Labelled snippets found in the ten best documents, for the questions whose id is divisible by 100."""
     return E.evidence_recall(_questions(spark, sf_dir), _ranked(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
