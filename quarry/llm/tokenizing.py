@@ -69,12 +69,12 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _kinds() -> np.ndarray:
-    """Space, letter, number or other sign for every character; open where versions of Unicode differ, as the tokenizer's may be any."""
+    """Space, letter, number or other sign for every character; open where versions of Unicode differ, as the tokenizer's may be any, and in the last planes."""
     if "kinds" not in _tables:
         of = {"L": _LETTER, "N": _NUMBER}
         old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
         kinds = np.zeros(0x110000, dtype=np.uint8)
-        for o in range(0x110000):
+        for o in range(0x30000):
             c = chr(o)
             a, b = old(c), new(c)
             if a == b and a != "Cn":
