@@ -2,8 +2,8 @@
 
 Sum-of-squares packing: each document goes where the sum of the squared counts of open
 containers per residual gap becomes smallest, which keeps every gap that a later item
-may need in stock.  What decides is only how many open containers have which gap, an
-array no longer than the capacity.
+may need in stock.  No item is moved once it is placed.  What decides is only how many
+open containers have which gap, an array no longer than the capacity.
 
 Items are spread by a hash over shards of bounded size and packed shard by shard; as
 sum-of-squares leaves few containers open, the shards cost a few containers each.
@@ -21,21 +21,21 @@ from ..functions.storage import materialize
 
 #: Items that one task packs, whatever the size of the corpus.
 SHARD_ITEMS = 20_000
-#: Containers emptier than these shares are packed again at the end of a shard.
-REPACK_BELOW = (0.5, 0.8, 0.9, 0.95, 0.98)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item, in the order given; sizes from 1 to ``capacity``."""
     count = np.zeros(capacity + 1, dtype=np.int64)  # open containers by gap
-    open_: list[list[int]] = [[] for _ in range(capacity + 1)]
+    opened = np.empty(capacity + 1, dtype=np.int64)  # the gaps that some open container has, in order: opened[:n]
+    of_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.empty(len(sizes), dtype=np.int64)
-    bins = 0
+    n = bins = 0
     for i, s in enumerate(sizes.tolist()):
         # Change of the sum: for gap g to g - s, 2 - 2 N(g) + 2 N(g - s); a perfect fit, 1 - 2 N(s); a new one, 1 + 2 N(C - s).
         best, where = (1 + 2 * int(count[capacity - s]) if s < capacity else 0), -1
-        gaps = np.flatnonzero(count[s:]) + s
-        if gaps.size:
+        first = int(opened[:n].searchsorted(s))
+        if first < n:
+            gaps = opened[first:n]
             change = 2 - 2 * count[gaps] + 2 * count[gaps - s]
             if gaps[0] == s:
                 change[0] = 1 - 2 * count[s]
@@ -46,62 +46,24 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
             b, where = bins, capacity
             bins += 1
         else:
-            b = open_[where].pop()
+            b = of_gap[where].pop()
             count[where] -= 1
+            if not count[where]:
+                at = first + k
+                opened[at : n - 1] = opened[at + 1 : n]
+                n -= 1
         out[i] = b
-        if where > s:
-            count[where - s] += 1
-            open_[where - s].append(b)
+        if (left := where - s) > 0:
+            if not count[left]:
+                at = int(opened[:n].searchsorted(left))
+                opened[at + 1 : n + 1] = opened[at:n]
+                opened[at] = left
+                n += 1
+            count[left] += 1
+            of_gap[left].append(b)
     return out
 
 
-def _tightest(sizes: np.ndarray, order: np.ndarray, gaps: dict[int, int], capacity: int, first_new: int) -> dict[int, int]:
-    """Containers for the items in ``order``: for each the smallest gap that holds it, else a new one."""
-    by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
-    has = np.zeros(capacity + 1, dtype=bool)
-    for b, g in gaps.items():
-        by_gap[g].append(b)
-        has[g] = True
-    put = {}
-    for i in order.tolist():
-        s = int(sizes[i])
-        k = int(has[s:].argmax()) + s
-        if has[k]:
-            b = by_gap[k].pop()
-            has[k] = bool(by_gap[k])
-        else:
-            b, k, first_new = first_new, capacity, first_new + 1
-        put[i] = b
-        if k > s:
-            by_gap[k - s].append(b)
-            has[k - s] = True
-    return put
-
-
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Sum-of-squares, then the emptiest containers' items once more, largest first, if that saves containers."""
-    best = sum_of_squares(sizes, capacity)
-    if not len(sizes):
-        return best
-    base, need = best, math.ceil(sizes.sum() / capacity)
-    fill = np.bincount(base, weights=sizes).astype(np.int64)
-    for share in REPACK_BELOW:
-        if best.max() + 1 <= need:
-            break
-        weak = fill < share * capacity
-        loose = np.flatnonzero(weak[base])
-        if not len(loose):
-            continue
-        gaps = {int(b): int(capacity - fill[b]) for b in np.flatnonzero(~weak & (fill < capacity))}
-        put = _tightest(sizes, loose[np.argsort(-sizes[loose], kind="stable")], gaps, capacity, len(fill))
-        trial = base.copy()
-        trial[list(put)] = list(put.values())
-        trial = np.unique(trial, return_inverse=True)[1]
-        if trial.max() < best.max():
-            best = trial
-    return best
-
-
 def pack_windows(sizes: DataFrame, windows: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The place of every document in containers of each window: ``window_name, bin_id, key, piece_no, token_begin, token_end``.
 
@@ -132,7 +94,7 @@ def pack_windows(sizes: DataFrame, windows: DataFrame, key: str = "doc_id", toke
         pdf = pdf.sort_values(["order", key], kind="stable")
         size = (pdf.token_end - pdf.token_begin).to_numpy()
         bins = np.zeros(len(pdf), dtype=np.int64)  # empty documents share the first container
-        bins[size > 0] = pack(size[size > 0], int(pdf.c.iloc[0]))
+        bins[size > 0] = sum_of_squares(size[size > 0], int(pdf.c.iloc[0]))
         shard = f"{pdf['shard'].iloc[0]}-"
         return pdf.assign(bin_id=[f"{shard}{b}" for b in bins.tolist()])[["window_name", "bin_id", key, "piece_no", "token_begin", "token_end"]]
 

@@ -4,16 +4,15 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from quarry.llm.packing import pack, pack_windows, sum_of_squares
+from quarry.llm.packing import pack_windows, sum_of_squares
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=120))
 def test_containers_hold(sizes):
     sizes = np.array(sizes, dtype=np.int64)
-    for f in (sum_of_squares, pack):
-        bins = f(sizes, 50)
-        assert len(bins) == len(sizes) and (not len(sizes) or np.bincount(bins, weights=sizes).max() <= 50)
+    bins = sum_of_squares(sizes, 50)
+    assert len(bins) == len(sizes) and (not len(sizes) or np.bincount(bins, weights=sizes).max() <= 50)
 
 
 def slow(sizes, capacity):
@@ -47,7 +46,7 @@ def test_places_by_squares(sizes):
 
 def test_little_room_unused():
     sizes = np.random.default_rng(1).integers(1, 400, 20_000)
-    assert pack(sizes, 1000).max() + 1 <= 1.01 * math.ceil(sizes.sum() / 1000)
+    assert sum_of_squares(sizes, 1000).max() + 1 <= 1.01 * math.ceil(sizes.sum() / 1000)
 
 
 def test_operator(spark):
