@@ -27,19 +27,19 @@ def p1_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record whose value survives, by group and field, in the stated order."""
-    got = fusion.fuse(table(spark, sf_dir, "syllabus"), table(spark, sf_dir, "source_trust"), FUSED, prefer="stated")
+    """The record whose value has the largest posterior, by group and field, the stated order being a certain prior."""
+    got = fusion.fuse(table(spark, sf_dir, "syllabus"), table(spark, sf_dir, "source_trust"), FUSED, prior=fusion.CERTAIN)
     return got.select("course_key", "field_name", "record_id")
 
 
 def p2_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value of largest posterior, by group and field."""
+    """The value of largest posterior by the votes alone, by group and field."""
     return fusion.fuse(table(spark, sf_dir, "syllabus"), table(spark, sf_dir, "source_trust"), FUSED)
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per group, built of the surviving values."""
-    return fusion.fused_records(table(spark, sf_dir, "syllabus"), table(spark, sf_dir, "source_trust"), FUSED, prefer="stated")
+    return fusion.fused_records(table(spark, sf_dir, "syllabus"), table(spark, sf_dir, "source_trust"), FUSED, prior=fusion.CERTAIN)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
