@@ -2,10 +2,16 @@
 
 First every text is folded: composed forms, character width, the kind of blank,
 invisible characters, ligatures and signs of one look.  Then look-alike letters are
-repaired token by token, aware of scripts: in a token of mixed scripts (or one of
-look-alikes only, in a text that has no other letter of their script) the letters of
+repaired token by token, aware of scripts: in a token of mixed scripts the letters of
 the weaker script give way to those of the dominant one, if the result is a word of the
 corpus.  Letter case, accents, raised and circled digits, punctuation and line ends stay.
+
+Two rules go beyond mixed-script tokens and corpus words, as equal look demands: a token
+of look-alikes only takes the script of the text's other letters, and a form that two
+different spellings lead to counts as a word.
+
+One pass over the texts gives their digests, their suspicious tokens and the hashes of
+the corpus vocabulary; only texts with suspicious tokens are looked at again.
 """
 
 from __future__ import annotations
@@ -48,6 +54,20 @@ def _table() -> dict[int, str]:
 
 
 _FOLD = _table()
+
+
+def _runs(points: list[int]) -> str:
+    """The inside of a character class, as ranges."""
+    out: list[list[int]] = []
+    for o in sorted(points):
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
+_CHANGES = re.compile(f"[{_runs(list(_FOLD))}]")
 #: Combining marks belong to the word they stand in.
 _MARKS = "".join(c for o in range(0x300, sys.maxunicode + 1) if unicodedata.category(c := chr(o))[0] == "M")
 #: The rare planes stand apart, behind a look at the plane: one set of all marks would be searched one by one.
@@ -65,7 +85,9 @@ def fold(text: str) -> str:
     """One form for width, blanks, invisible characters, composition and signs of one look."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(_FOLD))
+    composed = unicodedata.normalize("NFC", text)
+    folded = _CHANGES.sub(lambda m: _FOLD[ord(m.group())], composed)
+    return composed if folded == composed else unicodedata.normalize("NFC", folded)
 
 
 def suspects(folded: str) -> dict[str, str]:
@@ -115,97 +137,114 @@ def _visible(folded: str) -> bool:
     return not (not folded or folded.isspace())
 
 
-def _folded(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, stored, canon, suspects``: digests of the text as stored and folded, and its suspicious tokens."""
-    kind = df.schema[key].dataType.simpleString()
-    pair = pa.struct([("raw", pa.string()), ("fixed", pa.string())])
-    target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary()), ("suspects", pa.list_(pair))])
+#: Letters that a repaired form holds one of at least; words without any are no part of the vocabulary.
+_REPAIRED = re.compile("[A-Za-z\u00c0-\u024f\u0370-\u052f\u1e00-\u1fff]")
+#: Hashes of words per row, and in memory before a task hands them on.
+_ROW_WORDS, _HELD_WORDS = 5_000, 200_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = []
-            for id_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                f = fold(t)
-                if _visible(f):
-                    rows.append((id_, _digest(t), _digest(f), [{"raw": r, "fixed": x} for r, x in suspects(f).items()]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 4, target)], schema=target)
 
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, stored binary, canon binary, suspects array<struct<raw: string, fixed: string>>")
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
 
+def _scanned(df: DataFrame, key: str, text: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Texts and words, by one pass.
 
-def _vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """``fixed``: the words of the corpus that no look-alike is suspected in, each once per batch at least."""
+    ``row, key, stored, canon, folded, suspects`` of every text with a visible character (of
+    every row if ``whole``): digests as stored and folded, the folded text where it has
+    suspicious tokens (everywhere if ``whole``), and these tokens with their repaired form
+    and its hash.  ``h``: the hashes of the corpus words that no look-alike is suspected in.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    found = pa.struct([("raw", pa.string()), ("fixed", pa.string()), ("h", pa.int64())])
+    target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary()), ("folded", pa.string()), ("suspects", pa.list_(found)), ("words", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words: set[str] = set()
-            for t in b.column(0).to_pylist():
+        held: set[int] = set()
+
+        def words() -> list:
+            every = list(held)
+            held.clear()
+            return [(None, None, None, None, None, every[i : i + _ROW_WORDS]) for i in range(0, len(every), _ROW_WORDS)]
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 6, target)], schema=target)
+
+        for b in slices(batches):
+            rows, fresh = [], set()
+            for id_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t is None:
+                    rows.append((id_, None, None, None, [], None))
+                    continue
                 f = fold(t)
-                words.update(set(_TOKEN.findall(f)) - suspects(f).keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["fixed"])
+                bad = suspects(f)
+                tokens = set(_TOKEN.findall(f))
+                fresh |= tokens - bad.keys() if bad else tokens
+                if whole or _visible(f):
+                    rows.append((id_, _digest(t), _digest(f), f if whole or bad else None, [{"raw": r, "fixed": x, "h": _hash(x)} for r, x in bad.items()], None))
+            held.update(_hash(w) for w in fresh if _REPAIRED.search(w))
+            yield batch(rows + (words() if len(held) >= _HELD_WORDS else []))
+        yield batch(words())
 
-    return df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "fixed string")
+    rows = df if whole else df.where(F.col(text).isNotNull())
+    schema = f"{key} {kind}, stored binary, canon binary, folded string, suspects array<struct<raw: string, fixed: string, h: bigint>>, words array<bigint>"
+    got = materialize(rows.select(key, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    return got.where("words is null").drop("words"), got.where("words is not null").select(F.explode("words").alias("h"))
 
 
 #: Broadcast bound: distinct suspicious tokens that an executor holds without strain.
 BROADCAST_WORDS = 200_000
 
 
-def _valid_words(df: DataFrame, text: str, folded: DataFrame) -> tuple[DataFrame, bool]:
-    """``raw, fixed``: suspicious tokens whose repaired form is a word of the corpus, and whether they are few.
+def _replacements(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``row, words``: per text with suspicious tokens that are to be replaced, these tokens and what replaces them.
 
-    A form that different suspicious tokens lead to counts as a word too.
+    A repaired form counts as a word of the corpus if it occurs as it is, or if different
+    suspicious tokens lead to it.
     """
-    pairs = materialize(folded.select(F.explode("suspects").alias("s")).select("s.raw", "s.fixed").distinct())
+    tokens = texts.where(F.size("suspects") > 0).select("row", F.explode("suspects").alias("s")).select("row", "s.*")
+    pairs = materialize(tokens.select("raw", "fixed", "h").distinct())
     small = pairs.count() <= BROADCAST_WORDS
-    forms = pairs.groupBy("fixed").agg(F.count("*").alias("n"))
-    known = _vocabulary(df, text).join(F.broadcast(forms) if small else forms, "fixed", "left_semi").select("fixed").distinct()
-    words = known.union(forms.where("n > 1").select("fixed")).distinct()
-    return materialize(pairs.join(words, "fixed", "left_semi").select("raw", "fixed")), small
+    bounded = F.broadcast if small else lambda df: df
+    forms = pairs.groupBy("h").agg(F.countDistinct("raw").alias("n"))
+    known = words.join(bounded(forms), "h", "left_semi").distinct().union(forms.where("n > 1").select("h")).distinct()
+    valid = materialize(pairs.join(known, "h", "left_semi").select("raw", "fixed"))
+    return tokens.join(bounded(valid), ["raw", "fixed"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("raw", "fixed")).alias("words"))
 
 
-def _with_words(folded: DataFrame, key: str, valid: DataFrame, small: bool) -> DataFrame:
-    """``key, words``: per document, the replacements that hold in it."""
-    tokens = folded.where(F.size("suspects") > 0).select(key, F.explode("suspects").alias("s")).select(key, "s.raw", "s.fixed")
-    held = tokens.join(F.broadcast(valid) if small else valid, ["raw", "fixed"], "left_semi")
-    return held.groupBy(key).agg(F.collect_set(F.struct("raw", "fixed")).alias("words"))
-
-
-def _repaired(df: DataFrame, key: str, text: str, words: DataFrame, digests: bool) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
-    target = pa.schema([(key, arrow_type(df, key)), ("stored", pa.binary()), ("canon", pa.binary())] if digests else [(key, arrow_type(df, key)), ("text", pa.string())])
+def _repaired(texts: DataFrame, words: DataFrame, key: str, digests: bool) -> DataFrame:
+    """``key, stored, canon`` (or ``key, text``) of the texts with suspicious tokens, these replaced."""
+    kind = texts.schema[key].dataType.simpleString()
+    target = pa.schema([(key, arrow_type(texts, key)), ("stored", pa.binary()), ("canon", pa.binary())] if digests else [(key, arrow_type(texts, key)), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for id_, t, w in zip(*(b.column(i).to_pylist() for i in range(3))):
-                out = None if t is None else repair(fold(t), {x["raw"]: x["fixed"] for x in w or ()})
-                rows.append((id_, _digest(t), _digest(out)) if digests else (id_, out))
+            for id_, stored, f, w in zip(*(b.column(i).to_pylist() for i in range(4))):
+                out = repair(f, {x["raw"]: x["fixed"] for x in w or ()})
+                rows.append((id_, stored, _digest(out)) if digests else (id_, out))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(target), target)], schema=target)
 
-    how = "inner" if digests else "left"
-    joined = df.select(key, F.col(text).alias("t")).join(words, key, how).select(key, "t", "words")
+    joined = texts.where(F.size("suspects") > 0).select("row", key, "stored", "folded").join(words, "row", "left").select(key, "stored", "folded", "words")
     return joined.mapInArrow(run, f"{key} {kind}, stored binary, canon binary" if digests else f"{key} {kind}, text string")
 
 
 def canonical_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its text in one form: ``key, text``.
 
-    Null stays null; blank texts keep their blanks; repeated rows stay repeated if their
-    keys differ; other columns are ignored.
+    Null stays null; blank texts keep their blanks; repeated rows stay repeated; other
+    columns are ignored.  Only texts with suspicious tokens are shuffled.
     """
-    folded = materialize(_folded(df, key, text))
-    valid, small = _valid_words(df, text, folded)
-    return _repaired(df, key, text, _with_words(folded, key, valid, small), False)
+    texts, words = _scanned(df, key, text, True)
+    plain = texts.where(F.size("suspects") == 0).select(key, F.col("folded").alias("text"))
+    return plain.union(_repaired(texts, _replacements(texts, words), key, False))
 
 
 def same_look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, stored, canon`` of every text with a visible character; equal ``canon`` means equal look."""
-    folded = materialize(_folded(df, key, text))
-    valid, small = _valid_words(df, text, folded)
-    words = materialize(_with_words(folded, key, valid, small))
-    plain = folded.select(key, "stored", "canon").join(words.select(key), key, "left_anti")
-    return plain.union(_repaired(df, key, text, words, True))
+    texts, words = _scanned(df, key, text, False)
+    plain = texts.where(F.size("suspects") == 0).select(key, "stored", "canon")
+    return plain.union(_repaired(texts, _replacements(texts, words), key, True))
 
 
 def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
