@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record's text without those lines."""
+    """Every record's text without those lines that three different documents and two dates at least hold."""
     return boilerplate.remove_repeated_lines(table(spark, sf_dir, "syllabus"), date=F.col("collected_at"))
 
 
