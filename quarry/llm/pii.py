@@ -101,23 +101,121 @@ def deobfuscate(text: str) -> Mapped:
 # --- detectors, over the rewritten text --------------------------------------------
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])(?:mailto:)?[A-Za-z0-9_](?:[A-Za-z0-9._%+'-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_SEP = r"[ .\t-]{0,3}"
-_PHONE = re.compile(
-    rf"(?<![0-9A-Za-z])(?<!\d[-.,])(?:tel:[ \t]*)?(?:(?:\+|00)82{_SEP}\(?0?\)?{_SEP}(?:1[016789]|2|[3-6][1-5]|70){_SEP}\d{{3,4}}{_SEP}\d{{4}}"
-    rf"|\(?0(?:1[016789]|2|[3-6][1-5]|70|80|50[0-9]?)\)?{_SEP}\d{{3,4}}{_SEP}\d{{4}}"
-    rf"|(?:\+|00)(?!82)\d{{1,3}}{_SEP}\(?\d{{2,4}}\)?{_SEP}\d{{3,4}}{_SEP}\d{{4}}"
-    r"|\(\d{3}\)[ .-]?\d{3}[.-]\d{4})(?![0-9])(?!-\d)",
-    re.I,
-)
-_ID_LABEL = (
-    r"(?:(?:student|staff|user|employee|member)[ _-]*(?:id|no|number)|std_id|sid|학번|사번|교번|(?:교직원|직원|학생)[ \t]*번호"
-    r"|주민(?:등록)?[ \t]*번호|외국인[ \t]*등록[ \t]*번호|식별[ \t]*번호|여권[ \t]*번호|passport(?:[ \t]*(?:no|number))?|RRN)"
-)
-_ID = re.compile(
-    rf"(?<![A-Za-z]){_ID_LABEL}[ \t]*\.?[ \t]*[:=#]?[ \t]*(\d{{6}}[ \t]*-[ \t]*\d{{7}}|[A-Za-z]{{0,2}}-?\d{{5,13}})(?![0-9])"
-    r"|(?<![0-9A-Za-z-])(\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \t]*-[ \t]*[1-8]\d{6})(?![0-9])",
-    re.I,
-)
+_GROUP = re.compile(r"[0-9]+")
+_GAP = re.compile(r"\)?[ .\t-]{0,6}\(?")
+
+#: Fixed values of the public numbering plan, without the trunk 0: prefixes whose numbers have seven or eight more digits.
+AREA_CODES = ("2", "31", "32", "33", "41", "42", "43", "44", "51", "52", "53", "54", "55", "61", "62", "63", "64")
+MOBILE_CODES = ("10", "11", "16", "17", "18", "19")
+SERVICE_CODES = ("70", "80", "50", *(f"50{d}" for d in range(10)))
+_LOCAL = frozenset((*AREA_CODES, *MOBILE_CODES, *SERVICE_CODES))
+_ABROAD = frozenset((*AREA_CODES, *MOBILE_CODES, "70"))  # what can be called from abroad
+COUNTRY = "82"
+
+
+def _by_plan(rest: str, codes: frozenset[str], at: int, cuts: set[int]) -> bool:
+    """``rest`` is a code and seven or eight digits, written apart only behind the code and before the last four."""
+    end = at + len(rest)
+    return any(rest[:k] in codes and len(rest) - k in (7, 8) and cuts <= {at, at + k, end - 4} for k in (1, 2, 3))
+
+
+def _is_phone(number: str, cuts: set[int], abroad: bool) -> bool:
+    """Whether digits, with the places where they are written apart, make a number of the plan or of another country."""
+    if abroad or number.startswith("00"):
+        skip = 0 if abroad else 2
+        if number.startswith(COUNTRY, skip):
+            at = skip + len(COUNTRY)
+            trunk = at + number.startswith("0", at)
+            return _by_plan(number[trunk:], _ABROAD, trunk, cuts - {skip, at})
+        n = len(number) - skip
+        return any(c + a + m + 4 == n and cuts <= {skip, skip + c, skip + c + a, skip + c + a + m} for c in (1, 2, 3) for a in (2, 3, 4) for m in (3, 4))
+    return number.startswith("0") and _by_plan(number[1:], _LOCAL, 1, cuts - {1})
+
+
+def _phones(t: str, groups: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Phone numbers among the groups of digits of a text: neighbours that, together, the numbering plan knows."""
+    out, last = [], 0
+    for i, (begin, _) in enumerate(groups):
+        at = begin
+        while at > last and t[at - 1] in "(+":
+            at -= 1
+        label = re.search(r"(?i)tel:[ \t]*\Z", t[max(last, at - 8) : at])
+        at -= len(label.group()) if label else 0
+        if begin < last or (at and t[at - 1].isascii() and t[at - 1].isalnum()) or (at > 1 and t[at - 1] in "-.," and "0" <= t[at - 2] <= "9"):
+            continue
+        opening = t[at:begin].lower().lstrip("tel: \t")
+        if opening not in ("", "(", "+", "+("):
+            continue
+        number, cuts = "", set()
+        for k in range(i, min(i + 6, len(groups))):
+            b, e = groups[k]
+            if k > i:
+                gap = t[groups[k - 1][1] : b]
+                if not _GAP.fullmatch(gap):
+                    break
+                cuts.add(len(number))
+            number += t[b:e]
+            if len(number) > 17:
+                break
+            american = opening == "(" and k == i + 2 and [y - x for x, y in groups[i : k + 1]] == [3, 3, 4] and t[groups[i][1]] == ")" and gap in (".", "-")
+            if len(number) >= 9 and (american or _is_phone(number, cuts, "+" in opening)) and not re.match("-[0-9]", t[e : e + 2]):
+                out.append((at, e, "phone"))
+                last = e
+                break
+    return out
+
+
+#: The words of labels that numbers of persons stand behind, in order; blanks and hyphens may part them.
+ID_LABELS = (
+    *((who, what) for who in ("student", "staff", "user", "employee", "member") for what in ("id", "no", "number")),
+    ("std_id",), ("sid",), ("rrn",), ("passport", "number"), ("passport", "no"), ("passport",),
+    ("학번",), ("사번",), ("교번",), ("교직원", "번호"), ("직원", "번호"), ("학생", "번호"), ("주민", "등록", "번호"), ("주민", "번호"), ("외국인", "등록", "번호"), ("식별", "번호"), ("여권", "번호"),
+)
+_LABELLED = re.compile(r"(?i)(?<![A-Za-z])(?:" + "|".join(r"[ \t_-]*".join(map(re.escape, words)) for words in ID_LABELS) + r")[ \t]*\.?[ \t]*[:=#]?[ \t]*(?P<prefix>[A-Za-z]{0,2}-?)(?=[0-9])")
+_DASH = re.compile(r"[ \t]*-[ \t]*")
+_WEIGHTS = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)
+
+
+def _resident(number: str) -> bool:
+    """Thirteen digits that begin with a date of birth and a mark of the century."""
+    return number[2:4] in _MONTHS and number[4:6] in _DAYS and number[6] in "12345678"
+
+
+_MONTHS = frozenset(f"{m:02}" for m in range(1, 13))
+_DAYS = frozenset(f"{d:02}" for d in range(1, 32))
+
+
+def _checked(number: str) -> bool:
+    """The last digit agrees with the others, as those of resident numbers do."""
+    total = sum(w * int(d) for w, d in zip(_WEIGHTS, number))
+    return (11 - total % 11) % 10 == int(number[12])
+
+
+def _id_numbers(t: str, groups: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Numbers behind a label, and resident numbers: with their hyphen, or in one piece if the check digit agrees."""
+    out = []
+    of = {b: k for k, (b, _) in enumerate(groups)}
+
+    def pair(k: int) -> int | None:
+        """The end of six and seven digits with a hyphen between."""
+        if k + 1 < len(groups) and groups[k][1] - groups[k][0] == 6 and groups[k + 1][1] - groups[k + 1][0] == 7 and _DASH.fullmatch(t[groups[k][1] : groups[k + 1][0]]):
+            return groups[k + 1][1]
+
+    for m in _LABELLED.finditer(t):
+        k = of.get(m.end())
+        if k is not None and (end := None if m["prefix"] else pair(k)):
+            out.append((m.end(), end, "id_number"))
+        elif k is not None and 5 <= groups[k][1] - groups[k][0] <= 13:
+            out.append((m.start("prefix"), groups[k][1], "id_number"))
+    for k, (b, e) in enumerate(groups):
+        free = not b or not (t[b - 1].isascii() and t[b - 1].isalnum() or t[b - 1] == "-")
+        if free and (end := pair(k)) and _resident(t[b:e] + t[groups[k + 1][0] : end]):
+            out.append((b, end, "id_number"))
+        elif free and e - b == 13 and _resident(t[b:e]) and _checked(t[b:e]):
+            out.append((b, e, "id_number"))
+    return out
+
+
 _ZIP = r"(?:\(?\d{5}\)?[ \t]+)?"
 _REGION = r"(?:[가-힣]{1,6}(?:특별자치시|특별자치도|특별시|광역시|시|도)[ \t]+)?[가-힣]{1,6}(?:시|군|구)[ \t]+(?:[가-힣]{1,6}(?:구|읍|면)[ \t]+)?"
 _DETAIL = r"(?:[ \t]*,?[ \t]*(?:\([가-힣A-Za-z0-9 ]{2,30}\)|\d{1,4}동(?:[ \t]+\d{1,5}호)?|\d{1,3}층|\d{1,5}호|[가-힣]{2,8}(?:아파트|빌라|빌딩|오피스텔)))*"
@@ -157,13 +255,10 @@ def _detect(t: str) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(t):
             found.append((m.start(), m.end(), "email"))
     emails = list(found)
-    digits = any("0" <= c <= "9" for c in t)
-    if digits:
-        for m in _ID.finditer(t):
-            g = 1 if m.group(1) else 2
-            found.append((m.start(g), m.end(g), "id_number"))
-        for m in _PHONE.finditer(t):
-            found.append((m.start(), m.end(), "phone"))
+    groups = [m.span() for m in _GROUP.finditer(t)]
+    if groups:
+        if sum(e - b for b, e in groups) >= 5:
+            found += _id_numbers(t, groups) + _phones(t, groups)
         if _ADDRESS_HINT.search(t):
             for m in _ADDRESS.finditer(t):
                 found.append((m.start(), m.end(), "address"))

@@ -82,3 +82,25 @@ def test_operator(spark):
     assert got == [(1, "syllabus_url", 1, "id_number"), (1, "text", 1, "person_name"), (1, "text", 2, "phone"), (1, "text", 3, "phone"), (4, "text", 1, "email")]
     assert redact_pii(df, "record_id", ["text"], ["syllabus_url"]).count() == 5
     assert find_pii(df.limit(0), "record_id", ["text"], []).count() == 0
+
+
+def test_numbers_of_the_plan():
+    """Every code of the plan, in one piece, written apart, and from abroad; numbers of other lengths or codes are none."""
+    from quarry.llm.pii import AREA_CODES, MOBILE_CODES, find_in_line
+
+    for code in (*AREA_CODES, *MOBILE_CODES, "70"):
+        for line in (f"0{code}-123-4567", f"0{code} 1234 5678", f"0{code}12345678", f"(0{code}) 1234-5678", f"+82 {code} 1234 5678", f"+82-(0){code}-123-4567", f"0082{code}12345678"):
+            assert [t for _, _, t in find_in_line(f"call {line}, please")] == ["phone"], line
+            b, e, _ = find_in_line(f"call {line}, please")[0]
+            assert f"call {line}, please"[b:e] == line
+    for line in ("0101-2345-678", "029-1234-5678", "2024-03-11 10:30", "ISBN 978-89-1234-567-8", "010-12-345678", "1-010-1234-5678", "02-1234-5678-9"):
+        assert "phone" not in [t for _, _, t in find_in_line(line)], line
+    assert [t for _, _, t in find_in_line("(212) 555-0199 or +1 212 555 0199")] == ["phone", "phone"]
+
+
+def test_resident_numbers():
+    from quarry.llm.pii import find_in_line
+
+    assert [t for _, _, t in find_in_line("990101-1234567 and 9901011234563")] == ["id_number", "id_number"]  # the second by its check digit
+    for line in ("9901011234564", "991301-1234567", "990101-9234567", "x990101-1234567"):
+        assert find_in_line(line) == [], line
