@@ -32,21 +32,39 @@ _SPECIAL = re.compile(r"<br\s*/?>|//|[|｜/／;；、，,\n\r\t&＆·ㆍ+\"'“
 _SKIP = re.compile(r"(?:\s|<br\s*/?>|[|｜/／;；、，,&＆·ㆍ+])*", re.I)
 
 
-def _starts_value(text: str, at: int, head: re.Pattern) -> bool:
-    """A value, quoted or not, or the end of the text follows."""
-    at = _SKIP.match(text, at).end()
-    if at >= len(text):
-        return True
-    if text[at] in _QUOTES:
-        at += 1
-        while at < len(text) and text[at].isspace():
-            at += 1
-    return head.match(text, at) is not None
+class _Ahead:
+    """What follows a place of a text: whether a value, quoted or not, or the end does.
+
+    The answer is the same anywhere in a run of blanks and delimiters, so each run is read once.
+    """
+
+    def __init__(self, text: str, head: re.Pattern):
+        self.text, self.head, self.begin, self.end, self.known = text, head, 0, -1, False
+
+    def starts_value(self, at: int) -> bool:
+        if not self.begin <= at <= self.end:
+            self.begin, self.end = at, _SKIP.match(self.text, at).end()
+            self.known = self._value(self.end)
+        return self.known
+
+    def _value(self, at: int) -> bool:
+        if at >= len(self.text):
+            return True
+        if self.text[at] in _QUOTES:
+            at = _space(self.text, at + 1)
+        return self.head.match(self.text, at) is not None
 
 
 def tokenize(text: str, head: re.Pattern = _MEETING, inner_quotes: bool = True) -> list[str]:
-    """The values of ``text`` in order; values are stripped and unquoted, empty places are left out."""
+    """The values of ``text`` in order; values are stripped and unquoted, empty places are left out.
+
+    A text whose quotes or brackets stay open is read once more from there, with
+    quotation marks and brackets inside values as ordinary characters.  Linear: a place
+    from which a quotation mark was found never to close is not walked again.
+    """
     out: list[str] = []
+    ahead = _Ahead(text, head)
+    open_from: dict[str, bytearray] = {}  # by closing mark: places from which it never comes
     i, n = 0, len(text)
     while i < n:
         i = _SKIP.match(text, i).end()
@@ -55,8 +73,9 @@ def tokenize(text: str, head: re.Pattern = _MEETING, inner_quotes: bool = True)
         start, buf = i, []
         close = _QUOTES.get(text[i])
         if close:  # quoted value
-            j = i + 1
-            while j < n:
+            j, walked, never = i + 1, [], open_from.setdefault(close, bytearray(n + 2))
+            while j < n and not never[j]:
+                walked.append(j)
                 c = text[j]
                 if c == "\\" and j + 1 < n:
                     buf.append(text[j + 1])
@@ -65,7 +84,7 @@ def tokenize(text: str, head: re.Pattern = _MEETING, inner_quotes: bool = True)
                     if close in "\"'" and text[j + 1 : j + 2] == close:
                         buf.append(close)
                         j += 2
-                    elif (rest := _DELIM.match(text, _space(text, j + 1))) or _space(text, j + 1) >= n or _starts_value(text, j + 1, head):
+                    elif (rest := _DELIM.match(text, after := _space(text, j + 1))) or after >= n or ahead.starts_value(j + 1):
                         j = rest.start() if rest else j + 1
                         break
                     else:
@@ -76,6 +95,8 @@ def tokenize(text: str, head: re.Pattern = _MEETING, inner_quotes: bool = True)
                     j += 1
             else:
                 close = None  # never closed: an ordinary character
+                for k in walked:
+                    never[k] = 1
             if close:
                 out.append("".join(buf).strip())
                 i = j
@@ -100,7 +121,7 @@ def tokenize(text: str, head: re.Pattern = _MEETING, inner_quotes: bool = True)
             elif c in _QUOTES or c in _CLOSERS:
                 if inner_quotes and c in _QUOTES:
                     inner = _QUOTES[c]
-            elif depth == 0 and _starts_value(text, at, head):
+            elif depth == 0 and ahead.starts_value(at):
                 end = m.start()
                 break
         if (inner or depth) and end == n and inner_quotes and len(head.findall(text[start:])) > 1:
@@ -145,6 +166,8 @@ def _decoded(text: str):
         return json.loads(text)
     except ValueError:
         pass
+    if text[0] in "\"'" and text[0] * 2 in text:
+        return None  # doubled marks of a quoted value, which a literal would read as two texts
     try:
         return ast.literal_eval(text)
     except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
@@ -161,6 +184,8 @@ def displays(text: str, key: str = "display", depth: int = 0) -> list[str]:
     text = text.strip()
     if not text or depth > 4:
         return []
+    if text[0] in "\"'" and text[0] * 2 in text and text[-1] == text[0] and text[1:].lstrip()[:1] in ("[", "{"):
+        return displays(text[1:-1].replace(text[0] * 2, text[0]), key, depth + 1)
     value = _decoded(text) if text[0] in "[{\"'" else None
     if isinstance(value, str):
         return displays(value, key, depth + 1)
@@ -175,9 +200,10 @@ def displays(text: str, key: str = "display", depth: int = 0) -> list[str]:
                 out += displays(x, key, depth + 1) or [x]
         return [x.strip() for x in out if isinstance(x, str) and x.strip()]
     if "{" in text:
-        if (objects := _objects(text)) or text[0] not in "\"'":
-            out = [_decoded(x) for x in objects]
-            return [x[key].strip() for x in out if isinstance(x, dict) and isinstance(x.get(key), str) and x[key].strip()]
+        out = [_decoded(x) for x in _objects(text)]
+        found = [x[key].strip() for x in out if isinstance(x, dict) and isinstance(x.get(key), str) and x[key].strip()]
+        if found or text[0] not in "\"'":
+            return found
         return displays(text.strip("\"'").replace('\\"', '"').replace('""', '"'), key, depth + 1)
     return tokenize(text)
 

@@ -1,5 +1,7 @@
 import json
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from quarry.operators.multivalue import displays, meetings, split_packed, tokenize
@@ -48,6 +50,30 @@ def test_edges():
     assert len(meetings("|".join(["월(1-2) 가온관 1"] * 20000), False)) == 20000
 
 
+def test_doubled_marks_in_a_row_of_texts():
+    """Quotation marks inside quoted values, doubled, come out single and not as two texts set together."""
+    values = ["토요일 5-6교시 (13:00-14:50), 이음관 107", '금요일 5-7교시 (13:00-15:50), 이음관 "대강당"', "수요일 2교시"]
+    assert displays(",".join(quoted(v, '"') for v in values)) == values
+    assert displays(quoted(json.dumps([{"display": v} for v in values], ensure_ascii=False), '"')) == values
+
+
+@pytest.mark.parametrize("unit", ["“월1 ”x, ", '"월1, ', "“월(1-2) 가온관 ", "'월1 x''y ", '"월1 "x | ', "월1 |||||||", "“월1|", '\\"월1,"" '])
+def test_time_is_linear(unit):
+    """Quotation marks that never close, and runs of delimiters, are walked once."""
+
+    def took(times):
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            tokenize("“" + unit * times)
+            tokenize(unit * times + "|" * 10 * times + "x")
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    small, large = took(1_000), took(8_000)
+    assert large < 24 * small + 0.1, (small, large)
+
+
 def test_operator(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "월1|화2", "x"), (3, "월1|화2", "x"), (4, "월1", "x")]
     df = spark.createDataFrame(rows, "row_id long, schedule_raw string, value string")
