@@ -80,3 +80,12 @@ def test_operator(spark):
     got = split_packed(df, "row_id", {"schedule_raw": False}).collect()
     assert sorted(map(tuple, got)) == sorted([(3, "schedule_raw", 1, "월1"), (3, "schedule_raw", 2, "화2")] * 2)
     assert split_packed(df.limit(0), "row_id", {"schedule_raw": False}).count() == 0
+
+
+def test_found_has_the_stated_columns(spark):
+    from quarry.plans.multivalue import QUERIES
+
+    df = QUERIES["p3_found"](spark, "/root/testdata/sf0.001")
+    assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == "row_id bigint, field_name string, pos int, value string"
+    rows = [tuple(r) for r in df.collect()]
+    assert len(set(rows)) == len(rows) > 0

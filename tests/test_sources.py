@@ -73,3 +73,20 @@ def test_lists_in_pages(spark):
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
     assert [list(r["cells"]) for r in X.table_rows(df, "id", "html").orderBy("row_no").collect()] == [["코드"], ["A100 x", "b <c"]]
     assert [list(r["args"]) for r in X.call_arguments(df, "id", "html", "view").collect()][0] == ["A100", "it's, ok", "3"]
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    """Without a folder of the cluster, only a session of one process may take a temporary one."""
+    from types import SimpleNamespace
+
+    from quarry.functions.storage import shared_dir
+
+    def session(master, held=None):
+        conf = SimpleNamespace(get=lambda k, d=None: held, set=lambda k, v: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://shared/")) == "hdfs://shared"
+    assert shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
