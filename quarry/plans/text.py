@@ -7,37 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import segment
+from ..operators import rules as R, segment
+from ..operators.rules import STOPWORDS, SUFFIXES
 from ..sources.tables import table
 from .retrieval import TOK
 
-#: Words that carry no topic, and particles in the order they are tried.
-STOPWORDS = ("알려줘", "보여줘", "과목", "수업", "강의", "무엇", "누구", "the", "which", "what", "is", "are", "course", "covers")
-SUFFIXES = ("에서는", "에서", "으로", "에게", "까지", "부터", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "로", "도", "만")
-#: Words of one meaning, by group (SURVEY, appendix A).
-SYNONYMS = {
-    "팀활동": ("팀활동", "팀 활동", "팀플", "팀프젝", "팀플젝", "팀 프로젝트", "팀프로젝트", "팀 과제", "팀과제", "팀 협력", "팀협력", "팀워크", "협업", "협동", "조별", "조별 활동", "조별활동", "조별 과제", "조별과제", "조별 프로젝트", "조별플젝", "그룹 활동", "그룹활동", "그룹 프로젝트", "group project", "team project"),
-    "프로젝트": ("프로젝트", "프로젝트형", "프로젝트 중심", "PBL", "캡스톤", "project", "project based learning"),
-    "코딩": ("코딩", "프로그래밍", "개발", "구현", "코드", "coding", "programming"),
-    "실습": ("실습", "실습형", "실습 중심", "실습위주", "실습 위주", "직접 해보는", "practice", "hands-on", "lab"),
-    "발표": ("발표", "프레젠테이션", "presentation", "세미나 발표"),
-    "토론": ("토론", "토의", "discussion", "debate"),
-    "파이썬": ("파이썬", "python"),
-    "R언어": ("R언어", "R 언어", "R프로그래밍", "R 프로그래밍"),
-    "시험": ("시험", "중간고사", "기말고사", "고사", "평가"),
-    "중간고사": ("중간고사", "중간", "midterm"),
-    "기말고사": ("기말고사", "기말", "final"),
-    "과제": ("과제", "숙제", "레포트", "리포트", "assignment", "homework", "보고서"),
-    "퀴즈": ("퀴즈", "쪽지시험", "쪽지 시험", "quiz", "퀴즈형 시험"),
-    "출석": ("출석", "attendance"),
-    "평가": ("평가", "성적", "비율", "배점", "grading"),
-    "영강": ("영강", "영어 수업", "영어수업", "영어 강의", "영어강의", "English"),
-    "학습내용": ("학습내용", "학습 내용", "수업내용", "수업 내용", "강의내용", "강의 내용", "주별학습내용", "주별 학습내용", "커리큘럼", "뭘 배워", "무엇을 배워", "배우는 내용", "다루는 내용"),
-}
-#: Words that are part of unlike ones: encoding and decoding are no programming.
-_BOUNDED = {"코딩": "(?<![인디엔])코딩", "coding": "(?<![a-z])coding(?![a-z])"}
-
-
 def cleaned_text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and lines of every syllabus text after cleaning."""
     c = T.clean_text(F.col("text"))
@@ -60,23 +34,14 @@ def query_expansion_terms(spark, sf_dir):
     """Tokens of user questions without stopwords, with the stem before the first particle they end in, each once."""
     turns = table(spark, sf_dir, "chat_turns").where("role = 'user'")
     kept = F.filter(T.tokenize(F.col("text")), lambda t: ~t.isin(*STOPWORDS))
-    stem = lambda t: F.coalesce(*[F.when(F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= 2), F.substring(t, F.lit(1), F.length(t) - len(s))) for s in SUFFIXES])
-    stems = F.filter(F.transform(kept, stem), lambda s: s.isNotNull() & ~s.isin(*STOPWORDS))
+    stems = F.filter(F.transform(kept, R.stem), lambda s: s.isNotNull() & ~s.isin(*STOPWORDS))
     return turns.select("log_id", F.explode(F.array_distinct(F.concat(kept, stems))).alias("term"))
 
 
 def query_expansion_terms_whole(spark, sf_dir):
     """Like ``query_expansion_terms``, with the tokens of every synonym group that the question's tokens and stems, set in a row, hold a word of."""
     turns = table(spark, sf_dir, "chat_turns").where("role = 'user'")
-    stem = lambda t: F.coalesce(*[F.when(F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= 2), F.substring(t, F.lit(1), F.length(t) - len(s))) for s in SUFFIXES])
-    kept = F.filter(T.tokenize(F.col("text")), lambda t: ~t.isin(*STOPWORDS))
-    own = F.filter(F.flatten(F.transform(kept, lambda t: F.array(t, stem(t)))), lambda t: t.isNotNull() & ~t.isin(*STOPWORDS))
-    asked = turns.select("log_id", own.alias("own")).withColumn("row", F.array_join("own", " "))
-    added = []
-    for key, words in SYNONYMS.items():
-        held = "|".join(_BOUNDED.get(w, re.escape(w)) for w in dict.fromkeys(w.lower() for w in (key, *words)))
-        added.append(F.when(F.col("row").rlike(held), T.tokenize(F.lit(" ".join(words)))).otherwise(F.array().cast("array<string>")))
-    return asked.select("log_id", F.explode(F.array_distinct(F.concat("own", *added))).alias("term"))
+    return turns.select("log_id", F.explode(R.expanded(T.tokenize(F.col("text")))).alias("term"))
 
 
 def question_keys(spark, sf_dir):
@@ -104,6 +69,24 @@ def section_priority_rank(spark, sf_dir):
     return per.withColumn("rank", F.row_number().over(W.partitionBy("site_id").orderBy(F.desc("n_chars"), "section")))
 
 
+def section_priority(spark, sf_dir):
+    """What each section of a syllabus gains or loses by each user question; sections that neither gain nor lose are left out."""
+    asked = table(spark, sf_dir, "chat_turns").where("role = 'user' and text is not null").select("log_id", "text", F.explode(F.array(*[F.lit(n) for n in (*R.SECTION_TERMS, R.AVOIDED_SECTION)])).alias("section"))
+    return asked.select("log_id", "section", R.section_priority(F.col("text"), F.col("section")).alias("boost")).where("boost <> 0")
+
+
+def question_intents(spark, sf_dir):
+    """Whether user questions ask for more than an empty form can tell, and whether they are after many courses."""
+    asked = table(spark, sf_dir, "chat_turns").where("role = 'user' and text is not null")
+    return asked.select("log_id", R.substantive(F.col("text")).alias("substantive"), R.broad(F.col("text")).alias("broad"), R.contains_phrase(F.col("text"), R.SYNONYMS["팀활동"]).alias("teamwork"))
+
+
+def headed_chunks(spark, sf_dir):
+    """Section chunks under their record's header, as they go into a vector index."""
+    s = table(spark, sf_dir, "syllabus")
+    return segment.headed_chunks(segment.section_chunks(s, "record_id", "text"), s, "record_id")
+
+
 def _dq(s: str) -> str:
     return s.replace("'", "''")
 
@@ -127,9 +110,23 @@ SQL = {
     "fixed_window_chunks": """WITH w AS (SELECT doc_id, text, length(text) AS n, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 900) / 780.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0)
         SELECT doc_id, CAST(k AS INT) AS chunk_no, CAST(k * 780 AS INT) AS begin, substr(text, k * 780 + 1, 900) AS chunk FROM w WHERE regexp_replace(substr(text, k * 780 + 1, 900), '[ \\t\\n\\f\\r]', '', 'g') <> ''""",
 }
+_OR = lambda terms: "|".join(re.escape(t) for t in dict.fromkeys(x.lower() for x in terms))
+_HAS = lambda c, terms: f"regexp_matches({c}, '{_OR(terms)}')"
+_ANY = lambda c, terms: _HAS(f"lower({c})", terms).replace("코딩", "(?:^|[^인디엔])코딩", 1).replace("coding", "(?:^|[^a-z])coding(?:[^a-z]|$)", 1)
+_GROUPS = ", ".join(f"CASE WHEN {_ANY('row', (key, *words))} THEN {TOK.format(c=chr(39) + ' '.join(words) + chr(39))} ELSE [] END" for key, words in R.SYNONYMS.items())
+SQL["query_expansion_terms_whole"] = f"""WITH k AS (SELECT log_id, list_filter({TOK.format(c="text")}, lambda t: t NOT IN ({_STOP})) AS kept FROM chat_turns WHERE role = 'user'),
+    o AS (SELECT log_id, list_filter(flatten(list_transform(kept, lambda t: [t, {_STEM}])), lambda t: t IS NOT NULL AND t NOT IN ({_STOP})) AS own FROM k),
+    r AS (SELECT log_id, own, array_to_string(own, ' ') AS row FROM o)
+    SELECT log_id, unnest(list_distinct(flatten([own, {_GROUPS}]))) AS term FROM r"""
+SQL["section_priority"] = "WITH a AS (SELECT log_id, lower(text) AS q FROM chat_turns WHERE role = 'user' AND text IS NOT NULL) " + " UNION ALL ".join(
+    [f"SELECT log_id, '{name}' AS section, 0.32::DOUBLE AS boost FROM a WHERE {_HAS('q', terms)}" for name, terms in R.SECTION_TERMS.items()] + [f"SELECT log_id, '{R.AVOIDED_SECTION}', -0.35::DOUBLE FROM a WHERE NOT {_HAS('q', R.AVOIDED_TERMS)}"]
+)
+SQL["question_intents"] = f"""SELECT log_id, contains(text, '추천') OR {_ANY('text', R.CODING_TERMS)} OR {_ANY('text', R.PROJECT_TERMS)} OR {_ANY('text', R.SYNONYMS['실습'])} AS substantive,
+    {_ANY('text', R.BROAD_TERMS)} AND NOT regexp_matches(text, '(?:^|[^A-Za-z0-9])[A-Za-z]{{2,}}[0-9]{{3}}(?:[^A-Za-z0-9]|$)') AS broad,
+    {_HAS("lower(regexp_replace(text, '[[:space:]]+', '', 'g'))", [t.replace(' ', '') for t in R.SYNONYMS['팀활동']])} AS teamwork FROM chat_turns WHERE role = 'user' AND text IS NOT NULL"""
 _SECTION = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p in segment.SECTIONS) + " END"
 SQL["section_priority_rank"] = f"""WITH l AS (SELECT record_id, site_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT record_id, site_id, string_split(text, chr(10)) AS x FROM syllabus WHERE length(text) > 0)),
     n AS (SELECT *, coalesce(last_value({_SECTION} IGNORE NULLS) OVER (PARTITION BY record_id, site_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'body') AS section FROM l),
     p AS (SELECT site_id, section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM n WHERE trim(line, ' ') <> '' GROUP BY 1, 2)
     SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n_chars DESC, section) AS rank FROM p"""
-QUERIES = {f.__name__: f for f in (cleaned_text_lengths, normalized_titles, code_extraction, query_expansion_terms, query_expansion_terms_whole, question_keys, fixed_window_chunks, section_chunks, section_priority_rank)}
+QUERIES = {f.__name__: f for f in (cleaned_text_lengths, normalized_titles, code_extraction, query_expansion_terms, query_expansion_terms_whole, question_keys, fixed_window_chunks, section_chunks, section_priority_rank, section_priority, question_intents, headed_chunks)}

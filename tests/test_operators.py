@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dedup as D, quality as Q, retrieval as R, segment as S
+from quarry.operators import dedup as D, quality as Q, retrieval as R, rules as R_, segment as S
 from quarry.plans import quality as plans_quality, retrieval as plans_retrieval, text as plans_text
 
 
@@ -55,29 +55,65 @@ def test_mmr(spark):
     assert [r["doc_id"] for r in R.mmr(df, 5, 2).orderBy("position").collect()] == [1, 3, 4, 2]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .\n|", max_size=400), st.integers(20, 90), st.integers(0, 15))
 def test_windows_cover(text, size, overlap):
     out = S.windows(text, size, overlap)
-    assert all(0 < len(p) <= size for p in out)
-    seen = set()
-    for p in out:
-        at = text.find(p)
-        assert at >= 0
-    assert "".join(sorted(set("".join(out)) - set(" \n"))) == "".join(sorted(set(text) - set(" \n")))
-
-
-def test_segments():
-    assert S.sections("과목명: x\n▷ 강의개요 a\nb\n1주차: c\n2주차: d\n\nfree") == [("basic", "과목명: x"), ("overview", "▷ 강의개요 a\nb"), ("weekly", "1주차: c\n2주차: d"), ("body", "free")]
-    long = "p" * 3000 + "needle" + "q" * 3000
-    w = S.evidence_window(long, "needle")
-    assert "needle" in w and len(w) == 2200 and S.evidence_window("other", "needle") == "needle"
-    with pytest.raises(ValueError):
-        S.evidence_window(long, "x" * 2201)
+    assert all(0 < b - a <= size and text[a:b] == text[a:b].strip() for a, b in out)
+    seen = set().union(*(range(a, b) for a, b in out)) if out else set()
+    assert all(text[i].isspace() for i in set(range(len(text))) - seen)
+
+
+def test_windows_end_at_breaks():
+    text = "x" * 300 + ". " + "y" * 300 + " | " + "z" * 290 + "\n" + "w" * 400
+    assert S.windows(text, 700, 100) == [(0, 602), (503, 895), (776, 1296)]
     with pytest.raises(ValueError):
         S.windows("x", 10, 10)
 
 
+def test_sections():
+    """Tables of weeks and support notices keep the lines that name other sections, until something of their own ends them."""
+    text = "\n".join(["과목명: 통계", "[page 1]", "free body", "교과목개요", "about", "주별 학습내용", "1주차 교재 읽기", "2주차 평가방법 안내", "장애학생 지원", "과제물 연장", "Week  Learning Contents", "3주차 Midterm", "[강의계획안 HTML]", "수업방법 강의", "\u25b7 평가방법", "시험   50%", "", "", "[첨부 강의계획서: a.pdf]", "분반: 01"])
+    assert S.sections(text) == [
+        ("기본정보", "과목명: 통계"), ("강의계획서본문", "[page 1]\nfree body"), ("교과목개요", "교과목개요\nabout"), ("주별학습내용", "주별 학습내용\n1주차 교재 읽기\n2주차 평가방법 안내"), ("지원및윤리", "장애학생 지원\n과제물 연장"),
+        ("주별학습내용", "Week Learning Contents\n3주차 Midterm"), ("강의계획안HTML", "[강의계획안 HTML]"), ("수업운영", "수업방법 강의"), ("평가방법", "\u25b7 평가방법\n시험 50%"), ("기본정보", "[첨부 강의계획서: a.pdf]\n분반: 01"),
+    ]
+    assert S.sections("") == S.sections(" \n ") == []
+
+
+def test_section_chunks_with_evidence(spark):
+    """Chunks are whole in their evidence, which is bounded, and stand in their own section only."""
+    long = "교과목개요\n" + "\n".join(f"line {i} of the overview, with words enough to need several windows." for i in range(120))
+    df = spark.createDataFrame([(1, long + "\n평가방법\n시험 60%"), (1, "평가방법 없음"), (2, None), (3, ""), (4, " \n "), (5, "x" * 5000)], "record_id long, text string").selectExpr("*", "'y' AS section", "'z' AS parts")
+    got = S.section_chunks(df, "record_id", "text").collect()
+    bodies = dict(S.sections(long + "\n평가방법\n시험 60%"))
+    mine = [r for r in got if r["record_id"] == 1 and r["chunk"] != "평가방법 없음"]
+    assert [r["chunk_no"] for r in mine] == list(range(len(mine))) and len(mine) > 8
+    for r in mine:
+        assert r["chunk"] in r["evidence"] and r["evidence"] in bodies[r["section"]] and len(r["evidence"]) <= 2200
+    assert mine[-1]["section"] == "평가방법" and mine[-1]["evidence"] == "평가방법\n시험 60%"
+    assert [len(r["chunk"]) for r in got if r["record_id"] == 5] == [900] * 6 + [320] and {r["record_id"] for r in got} == {1, 5}
+    again = S.section_chunks(df.where("record_id = 5"), "record_id", "text").where("chunk_no = 3").first()
+    assert len(again["evidence"]) == 2200
+    with pytest.raises(ValueError):
+        S.section_chunks(df, "record_id", "text", size=3000)
+
+
+def test_evidence_window(spark):
+    at = lambda parent, child: spark.createDataFrame([(parent, child)], "p string, c string").select(S.evidence_window(F.col("p"), F.col("c"))).first()[0]
+    w = at("p" * 3000 + "needle" + "q" * 3000, "needle")
+    assert len(w) == 2200 and w.index("needle") == 1097
+    assert at("other", "needle") == "needle" and at("needle at the front" + " x" * 2000, "needle").startswith("needle at") and at("a needle", "needle") == "a needle"
+    assert at("x" * 4000, "x" * 2201) == "x" * 2201
+
+
+def test_headed_chunks(spark):
+    records = spark.createDataFrame([(i, f"AB{100 + i}", "01", "통계", None, "전공", "3", "3(3)", None, f"과목명: 통계 {i}\n평가방법\n시험 {i}%") for i in range(30)], "record_id long, course_code string, class_no string, course_name string, professor string, completion_type string, credit string, class_hours string, schedule_summary string, text string")
+    got = S.headed_chunks(S.section_chunks(records, "record_id", "text"), records, "record_id").orderBy("record_id", "chunk_no").collect()
+    assert [r["chunk_id"] for r in got] == [f"AB{100 + i // 2}_01_{i:04}" for i in range(60)]
+    assert got[1]["document"] == "과목명: 통계\n학수번호: AB100\n분반: 01\n교수명: \n이수구분: 전공\n학점: 3\n학점/시수: 3(3)\n수업시간 및 강의실: 미정 또는 별도 운영\n문서 구역: 평가방법\n\n평가방법\n시험 0%"
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(8)]
@@ -142,7 +178,7 @@ def test_percentile_and_urls(spark):
 
 
 def test_expansion_vocabulary():
-    assert list(plans_text.SUFFIXES).index("에서는") < list(plans_text.SUFFIXES).index("는")
+    assert list(R_.SUFFIXES).index("에서는") < list(R_.SUFFIXES).index("는")
 
 
 def test_percentile_of_a_large_group(spark):
@@ -218,4 +254,4 @@ def test_expansion_by_synonyms(spark, tmp_path):
     assert all(len(set(v)) == len(v) for v in got.values()) and set(got) == {0, 1, 2, 3, 4, 5}
     assert set(got[0]) == quiz | {"있나"} and team | {"그룹은", "많아"} <= set(got[1])
     assert got[2] == ["인코딩", "방식"] and got[4] == ["encoding", "table"] and set(got[3]) == {"바이브코딩", "코딩", "프로그래밍", "개발", "구현", "코드", "coding", "programming"}
-    assert set(got[5]) == quiz | {"퀴즈와", "출석", "attendance"} and len(plans_text.SYNONYMS) == 17
+    assert set(got[5]) == quiz | {"퀴즈와", "출석", "attendance"} and len(R_.SYNONYMS) == 17
