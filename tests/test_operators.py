@@ -66,7 +66,7 @@ def test_windows_cover(text, size, overlap):
 
 def test_windows_end_at_breaks():
     text = "x" * 300 + ". " + "y" * 300 + " | " + "z" * 290 + "\n" + "w" * 400
-    assert S.windows(text, 700, 100) == [(0, 602), (503, 895), (776, 1296)]
+    assert S.windows(text, 700, 100) == [(0, 602), (503, 895), (796, 1296)]
     with pytest.raises(ValueError):
         S.windows("x", 10, 10)
 
