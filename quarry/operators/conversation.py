@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import course_codes
+from .search import contained
 
 
 def deliveries_once(turns: DataFrame) -> DataFrame:
@@ -22,6 +23,32 @@ def mentions(turns: DataFrame, codes: DataFrame) -> DataFrame:
     return said.join(codes, "code", "left_semi")
 
 
+def mentions_by_name(turns: DataFrame, courses: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, code``: courses that a turn's text names by their code, whatever its case, or by their name as it stands; each once.
+
+    ``courses`` has ``code`` and ``course_name``; empty ones name nothing.  Codes and names
+    are found by an equality join on what stands at each place of the text.
+    """
+    said = turns.select("conv_id", "turn", "role", "text").where("text is not null").withColumn("id", F.struct("conv_id", "turn", "role"))
+    known = courses.where("code <> ''").select(F.upper("code").alias("code"), F.coalesce("course_name", F.lit("")).alias("course_name")).distinct()
+    by_code = contained(said.select("id", F.upper("text").alias("t")), known, "id", "t", "code").select("id", F.col("name").alias("code"))
+    by_name = contained(said.select("id", "text"), known, "id", "text", "course_name").join(known, F.col("name") == F.col("course_name")).select("id", "code")
+    return by_code.union(by_name).distinct().select("id.*", "code")
+
+
+def missing_of_category(turns: DataFrame, said: DataFrame, category: DataFrame) -> DataFrame:
+    """``conv_id, turn, code``: for turns that ask what an answer left out, the courses of the asked category that the latest answer before them doesn't name.
+
+    ``turns`` has ``conv_id, turn, category`` of such turns, ``said`` the courses named by
+    turn, ``category`` the courses (``category, code``).  Turns without an earlier answer
+    that names any course give no row.
+    """
+    answers = said.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answered")).distinct()
+    last = turns.join(answers, "conv_id").where("answered < turn").groupBy("conv_id", "turn", "category").agg(F.max("answered").alias("answered"))
+    named = said.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answered"), "code").distinct()
+    return last.join(category.distinct(), "category").join(named, ["conv_id", "answered", "code"], "left_anti").select("conv_id", "turn", "code")
+
+
 def latest_mentioned(said: DataFrame, role: str = "assistant") -> DataFrame:
     """``conv_id, turn, code`` of the latest turn of a role that names anything, per conversation."""
     of = said.where(F.col("role") == role)

@@ -31,16 +31,17 @@ def passages(records: DataFrame, key: str = "record_id", text: str = "text") ->
 def contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """``key, name, at``: every name that a text contains, with the place of its first occurrence.
 
-    An equi-join instead of a nested loop: a text offers its substrings of the lengths that
-    names have (a short list), and only these meet the names.  Empty and null names are in
-    no text.
+    An equi-join instead of a nested loop: every place of a text offers what follows it,
+    and meets the names that begin with the same two characters.  Empty and null names are
+    in no text.
     """
-    known = names.select(F.col(name).alias("name")).where(F.length("name") > 0).distinct()
-    lengths = known.agg(F.sort_array(F.collect_set(F.length("name"))).alias("lengths"))
-    t = texts.where(F.length(text) > 0).select(key, F.col(text).alias("t")).join(F.broadcast(lengths))
-    t = t.select(key, "t", F.explode("lengths").alias("n")).where(F.length("t") >= F.col("n"))
-    parts = t.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1), lambda i: F.substring(F.col("t"), i, F.col("n")))).alias("at", "name"))
-    return parts.join(known, "name", "left_semi").groupBy(key, "name").agg((F.min("at") + 1).alias("at"))
+    known = names.select(F.col(name).alias("name")).where(F.length("name") > 0).distinct().withColumn("begin", F.substring("name", 1, 2))
+    shape = known.agg(F.array_distinct(F.collect_set(F.length("begin"))).alias("begins"), F.max(F.length("name")).alias("most"))
+    t = texts.where(F.length(text) > 0).select(key, F.col(text).alias("t")).join(F.broadcast(shape))
+    places = t.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), i, F.col("most")))).alias("at", "rest"), "begins")
+    offers = places.select(key, "at", "rest", F.explode("begins").alias("n")).select(key, "at", "rest", F.substring(F.col("rest"), F.lit(1), F.col("n")).alias("begin"))
+    met = offers.join(known, "begin").where(F.startswith("rest", "name"))
+    return met.groupBy(key, "name").agg((F.min("at") + 1).alias("at"))
 
 
 def named_courses(questions: DataFrame, courses: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import conversation as V
+from ..operators import conditions as C, conversation as V, rules as R
 from ..sources.tables import table
 from .catalog import _BARE
 
@@ -57,6 +57,54 @@ def anti_missing_set(spark, sf_dir):
     return asked.join(required, "dept_code").select("conv_id", "code").distinct().join(said, ["conv_id", "code"], "left_anti")
 
 
+def _named(spark, sf_dir):
+    """Distinct codes and names of the course list."""
+    return table(spark, sf_dir, "courses").select(T.bare_code(F.col("course_code")).alias("code"), "course_name").distinct()
+
+
+def mentions_by_name(spark, sf_dir):
+    """Which known courses each turn names, by code or by name."""
+    return V.mentions_by_name(_turns(spark, sf_dir), _named(spark, sf_dir))
+
+
+def latest_answer_courses(spark, sf_dir):
+    """The courses, by code or name, of each conversation's latest answer that names any."""
+    return V.latest_mentioned(mentions_by_name(spark, sf_dir))
+
+
+def reference_by_name(spark, sf_dir):
+    """What "that course" refers to in each conversation, codes and names looked for."""
+    return V.unique_reference(mentions_by_name(spark, sf_dir))
+
+
+#: Kinds of titles, with the words that ask for them.
+CATEGORIES = {"pbl": ("pbl", "피비엘"), "캡스톤": ("캡스톤", "캡스톤디자인"), "현장실습": ("현장실습", "인턴십"), "영강": ("영강", "영어수업", "영어강의")}
+
+
+def left_out_courses(spark, sf_dir):
+    """For user turns that name a kind of title: the courses of that kind that the latest answer before them doesn't name."""
+    turns = _turns(spark, sf_dir).where("role = 'user' and text is not null")
+    title, name = T.normalize_title(F.col("text")), T.normalize_title(F.col("course_name"))
+    kinds = F.array(*[F.when(F.greatest(*[title.contains(w) for w in words]), F.lit(k)) for k, words in CATEGORIES.items()])
+    asking = turns.select("conv_id", "turn", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("category"))
+    of = F.array(*[F.when(name.contains(k), F.lit(k)) for k in CATEGORIES])
+    category = _named(spark, sf_dir).where("code <> ''").select("code", F.explode(F.filter(of, lambda x: x.isNotNull())).alias("category")).distinct()
+    return V.missing_of_category(asking, mentions_by_name(spark, sf_dir), category).distinct()
+
+
+def question_conditions(spark, sf_dir):
+    """What each user question demands of a course: kinds and values."""
+    professors = table(spark, sf_dir, "courses").select("professor").distinct()
+    return C.asked(table(spark, sf_dir, "chat_turns").where("role = 'user'"), professors, "log_id", "text").withColumnRenamed("qid", "log_id")
+
+
+def condition_matches(spark, sf_dir):
+    """For each user question, how many records meet all it demands; several professors are alternatives."""
+    demands = question_conditions(spark, sf_dir).withColumnRenamed("log_id", "qid")
+    got = C.meeting_all(demands, C.offered(table(spark, sf_dir, "syllabus")), any_of=("professor",))
+    return got.groupBy(F.col("qid").alias("log_id")).agg(F.count("*").alias("n_records"))
+
+
 def mode_routing(spark, sf_dir):
     """The mode of each user question: the first cue that holds, in the cascade's order."""
     t = F.lower(F.coalesce("text", F.lit("")))
@@ -84,6 +132,9 @@ raw AS (SELECT conv_id, turn, role, unnest(list_distinct(list_transform(regexp_e
 said AS (SELECT * FROM raw WHERE code IN (SELECT code FROM known)),
 latest AS (SELECT conv_id, turn, code FROM said WHERE role = 'assistant' AND turn = (SELECT max(turn) FROM said s WHERE s.conv_id = said.conv_id AND s.role = 'assistant'))
 """
+_TITLE = lambda c: f"regexp_replace(lower(replace(replace(replace(replace(replace(coalesce({c}, ''), 'Ⅰ', 'I'), 'Ⅱ', 'II'), 'Ⅲ', 'III'), 'Ⅳ', 'IV'), 'Ⅴ', 'V')), '[^0-9a-z가-힣]', '', 'g')"
+_BY_NAME = f"""{_ONCE}, known AS (SELECT DISTINCT {_BARE} AS code, coalesce(course_name, '') AS name FROM courses WHERE {_BARE} <> ''),
+named AS (SELECT DISTINCT conv_id, turn, role, code FROM once, known WHERE contains(upper(text), code) OR (name <> '' AND contains(text, name)))"""
 _HAS = lambda *w: "(" + " OR ".join(f"contains(t, '{x}')" for x in w) + ")"
 
 SQL = {
@@ -91,6 +142,14 @@ SQL = {
     "latest_assistant_mention": f"WITH {_SAID} SELECT * FROM latest",
     "unique_mention_resolution": f"""WITH {_SAID}, one AS (SELECT conv_id, turn, role, min(code) AS code FROM said GROUP BY ALL HAVING count(*) = 1)
         SELECT conv_id, turn, code FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'user') DESC, turn DESC, code DESC) AS r FROM one) WHERE r = 1""",
+    "mentions_by_name": f"WITH {_BY_NAME} SELECT * FROM named",
+    "latest_answer_courses": f"WITH {_BY_NAME} SELECT conv_id, turn, code FROM named WHERE role = 'assistant' AND turn = (SELECT max(turn) FROM named s WHERE s.conv_id = named.conv_id AND s.role = 'assistant')",
+    "reference_by_name": f"""WITH {_BY_NAME}, one AS (SELECT conv_id, turn, role, min(code) AS code FROM named GROUP BY ALL HAVING count(*) = 1)
+        SELECT conv_id, turn, code FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'user') DESC, turn DESC, code DESC) AS r FROM one) WHERE r = 1""",
+    "left_out_courses": f"""WITH {_BY_NAME}, a AS ({" UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS category FROM once WHERE role = 'user' AND (" + " OR ".join(f"contains({_TITLE('text')}, '{w}')" for w in words) + ")" for k, words in CATEGORIES.items())}),
+        c AS ({" UNION ALL ".join(f"SELECT DISTINCT code, '{k}' AS category FROM known WHERE contains({_TITLE('name')}, '{k}')" for k in CATEGORIES)}),
+        l AS (SELECT a.conv_id, a.turn, category, max(n.turn) AS answered FROM a JOIN named n ON n.conv_id = a.conv_id AND n.role = 'assistant' AND n.turn < a.turn GROUP BY ALL)
+        SELECT DISTINCT l.conv_id, l.turn, c.code FROM l JOIN c USING (category) WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.conv_id = l.conv_id AND n.turn = l.answered AND n.role = 'assistant' AND n.code = c.code)""",
     "history_truncation": f"""WITH {_ONCE}, b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM once)
         SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS pos, role, substr(coalesce(text, ''), 1, 1200) AS text FROM b WHERE back <= 8""",
     "semi_previous_set": f"WITH {_SAID} SELECT conv_id, code FROM latest WHERE code IN (SELECT {_BARE} FROM courses WHERE completion_type IN ('전공필수', '교양필수'))",
@@ -103,4 +162,4 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY answer_mode ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY answer_mode) AS n FROM d)
         SELECT answer_mode, count(*) AS n, round(avg(s), 6) AS mean, max(CASE WHEN i = floor(0.95 * (n - 1)) THEN s END) AS percentile FROM r GROUP BY answer_mode""",
 }
-QUERIES = {f.__name__: f for f in (contains_theta_join, latest_assistant_mention, unique_mention_resolution, history_truncation, semi_previous_set, anti_missing_set, mode_routing, turn_latency)}
+QUERIES = {f.__name__: f for f in (contains_theta_join, latest_assistant_mention, unique_mention_resolution, history_truncation, semi_previous_set, anti_missing_set, mode_routing, turn_latency, mentions_by_name, latest_answer_courses, reference_by_name, left_out_courses, question_conditions, condition_matches)}
