@@ -40,9 +40,9 @@ def percentile_by_rank(df: DataFrame, by: list[str], value: str, p: float) -> Da
 
 #: What is redacted, in order, with the counter of each rule.
 RULES = (
-    ("emails", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[이메일 비공개]"),
-    ("phones", r"(?:\+82[ .-]?10|010|0[2-6][0-9]?)[ .)-]{0,2}[0-9]{3,4}[ .-]?[0-9]{4}", "[연락처 비공개]"),
-    ("ids", r"[0-9]{6} ?- ?[1-8][0-9]{6}", "[식별번호 비공개]"),
+    ("emails", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email removed]"),
+    ("phones", r"(?:\+82[ .-]?10|010|0[2-6][0-9]?)[ .)-]{0,2}[0-9]{3,4}[ .-]?[0-9]{4}", "[phone removed]"),
+    ("ids", r"[0-9]{6} ?- ?[1-8][0-9]{6}", "[id removed]"),
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import quality as Q
+from ..operators import quality as Q, redaction as D
 from ..operators.multivalue import split_packed
 from ..sources.tables import table
 from .catalog import _BARE, _MISS
@@ -94,6 +94,36 @@ def redaction_residuals(spark, sf_dir):
     return left.select("record_id", *[F.regexp_count("t", F.lit(p)).alias(n) for n, p, _ in Q.RULES]).where(" + ".join(n for n, _, _ in Q.RULES) + " > 0")
 
 
+def redaction_totals(spark, sf_dir):
+    """Per site, what each rule of the whole redaction takes out of its records' texts."""
+    t = table(spark, sf_dir, "syllabus").where("text is not null").select("site_id", D.redacted(F.col("text")).alias("r"))
+    return t.groupBy("site_id").agg(*[F.sum(f"r.{c}").alias(c) for c in D.COUNTERS])
+
+
+def redaction_invariants(spark, sf_dir):
+    """Per rule, how many texts were checked and how many still hold a match after redaction; none may."""
+    return D.residuals(table(spark, sf_dir, "syllabus"), "record_id", "text")
+
+
+def redacted_records(spark, sf_dir):
+    """Every record with the texts in its fields, and in the structs of its meetings, redacted."""
+    s = table(spark, sf_dir, "syllabus").select("record_id", "professor", "schedule_summary", "text", "schedule_entries")
+    return D.redact_table(s, ["schedule_summary", "text", "schedule_entries"])
+
+
+def shown_urls(spark, sf_dir):
+    """Every syllabus URL as it may be shown, and what was taken off."""
+    c = D.checked_url(F.col("syllabus_url"))
+    return table(spark, sf_dir, "syllabus").select("record_id", c.alias("c")).select("record_id", "c.*")
+
+
+def secret_flags(spark, sf_dir):
+    """How many texts were searched for keys, and how many hold one."""
+    s = table(spark, sf_dir, "documents").where("text is not null")
+    found = D.secrets(s, "doc_id", "text").select("doc_id").distinct().agg(F.count("*").alias("n_found"))
+    return s.agg(F.count("*").alias("n_searched")).join(F.broadcast(found))
+
+
 def safe_url_filter(spark, sf_dir):
     """Every syllabus URL with only its course parameters."""
     return table(spark, sf_dir, "syllabus").select("record_id", Q.safe_url(F.col("syllabus_url")).alias("url"))
@@ -131,9 +161,10 @@ SQL = {
         SELECT c.code, count(*) AS n_days, count(s.code) AS n_kept, count(*) = count(s.code) AS preserved FROM c LEFT JOIN s ON c.code = s.code AND c.day = s.day WHERE c.code <> '' GROUP BY c.code""",
     "redaction_counts": "SELECT site_id, " + ", ".join(f"CAST(sum({x}) AS BIGINT) AS {n}" for n, x in _STEPS) + " FROM syllabus WHERE text IS NOT NULL GROUP BY site_id",
     "redaction_residuals": f"SELECT record_id, " + ", ".join(f"CAST(len(regexp_extract_all(t, '{p}')) AS INT) AS {n}" for n, p, _ in Q.RULES) + f" FROM (SELECT record_id, {_R} AS t FROM syllabus WHERE text IS NOT NULL) WHERE " + " OR ".join(f"regexp_matches(t, '{p}')" for _, p, _ in Q.RULES),
+    "secret_flags": "SELECT count(*) AS n_searched, CAST(count_if(" + " OR ".join(f"regexp_matches(text, '{p}')" for p in D.SECRETS.values()) + ") AS BIGINT) AS n_found FROM documents WHERE text IS NOT NULL",
     "safe_url_filter": """WITH p AS (SELECT record_id, syllabus_url AS u, regexp_extract(syllabus_url, '^([^?#]*)', 1) AS b, list_filter(string_split(regexp_extract(syllabus_url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1) IN ('year', 'term', 'dept_cd', 'cour_cd', 'cour_cls') AND contains(x, '=')) AS k FROM syllabus)
         SELECT record_id, CASE WHEN regexp_matches(u, '^https?://[^/?#@\\s\\\\]+(?:[/?#]|$)') THEN b || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END END AS url FROM p""",
     "mojibake_signals": "SELECT site_id, CAST(count_if(contains(text, '�')) AS BIGINT) AS replaced, CAST(count_if(regexp_matches(text, '[À-ÿ]{3}')) AS BIGINT) AS latin, CAST(count_if(regexp_matches(text, '[慴扥湡潦牧]{2}')) AS BIGINT) AS han FROM syllabus WHERE text IS NOT NULL GROUP BY site_id",
     "domain_checks": "SELECT s.site_id, found, n, found = host AS agrees FROM (SELECT site_id, regexp_extract(coalesce(syllabus_url, ''), '^https?://([^/?#]+)', 1) AS found, count(*) AS n FROM syllabus GROUP BY 1, 2) s LEFT JOIN sites USING (site_id)",
 }
-QUERIES = {f.__name__: f for f in (missingness_report, frequency_counts, median_minmax_chars, distinct_counts, format_counts, char_count_errors, exact_p95, set_preservation, set_preservation_whole, redaction_counts, redaction_residuals, safe_url_filter, mojibake_signals, domain_checks)}
+QUERIES = {f.__name__: f for f in (missingness_report, frequency_counts, median_minmax_chars, distinct_counts, format_counts, char_count_errors, exact_p95, set_preservation, set_preservation_whole, redaction_counts, redaction_residuals, redaction_totals, redaction_invariants, redacted_records, shown_urls, secret_flags, safe_url_filter, mojibake_signals, domain_checks)}

@@ -81,6 +81,33 @@ class TtlCache:
         return False
 
 
+class Clients:
+    """``Admission`` per client for at most ``most`` clients at once; a client is forgotten ``ttl`` after its last accepted event.
+
+    While all places are taken, new clients are refused and none is put out; refused events
+    neither extend a client's time nor take a place.
+    """
+
+    def __init__(self, limit: int, window: int, most: int, ttl: int):
+        self.limit, self.window, self.most, self.ttl = limit, window, most, ttl
+        self.of: OrderedDict = OrderedDict()  # by last accepted event, the oldest first
+
+    def accept(self, client, now: int) -> bool:
+        while self.of and now - next(iter(self.of.values())).kept[-1] >= self.ttl:
+            self.of.popitem(last=False)
+        if not self.limit or client not in self.of and len(self.of) >= self.most:
+            return False
+        a = self.of.get(client) or Admission(self.limit, self.window)
+        last = a.kept[-1] if a.kept else None
+        if not a.accept(now):
+            if last is not None and not a.kept:
+                a.kept.append(last)
+            return False
+        self.of[client] = a
+        self.of.move_to_end(client)
+        return True
+
+
 def check_limit(limit: int, window: float) -> None:
     """A limit is a whole number of 0 or more, a window a finite number above 0."""
     if isinstance(limit, bool) or not isinstance(limit, int) or limit < 0:
@@ -117,6 +144,32 @@ def admit(df: DataFrame, key: str, ts: str, tie: str, limit: int = 6, window: fl
     return _walk(timed, key, "_at", tie, None, lambda: Admission(limit, w), lambda s, now, _: s.accept(now), "accepted", w)
 
 
+def admit_all(df: DataFrame, ts: str, tie: str, limit: int = 60, window: float = 3600) -> DataFrame:
+    """``tie, accepted``: one budget for all events together; what was accepted isn't given back.
+
+    One task walks a stretch of time in which no pause reaches the window; it holds
+    ``limit`` times, whatever the stretch.
+    """
+    return admit(df.withColumn("_all", F.lit(0)), "_all", ts, tie, limit, window)
+
+
+def admit_clients(df: DataFrame, key: str, ts: str, tie: str, limit: int = 6, window: float = 60, most: int = 1024, ttl: float = 600) -> DataFrame:
+    """``tie, accepted`` of every event with a time and a client: ``admit``, for at most ``most`` clients at once.
+
+    A client's place is free ``ttl`` seconds after its last accepted event, which must cover
+    the window.  Keys that differ in letter case are one client.  A limit or number of
+    clients of 0 refuses all.  As clients share the places, one task walks a stretch of time
+    in which no pause reaches ``ttl``; it holds ``most * limit`` times, whatever the stretch.
+    """
+    check_limit(limit, window)
+    check_limit(most, ttl)
+    if ttl < window:
+        raise ValueError("the time of a client must cover the window")
+    w, t = int(window * MICRO), int(ttl * MICRO)
+    timed = df.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.lit(0).alias("_all"), _micros(ts).alias("_at"), tie, F.lower(F.col(key).cast("string")).alias("_client"))
+    return _walk(timed, "_all", "_at", tie, "_client", lambda: Clients(limit, w, most, t), lambda s, now, c: s.accept(c, now), "accepted", t)
+
+
 def cache_hits(df: DataFrame, key: str, name: str, ts: str, tie: str, size: int = 2, ttl: float = 600) -> DataFrame:
     """``tie, hit`` of every event with a time: one cache of ``size`` entries per key, ``ttl`` seconds from insertion."""
     t = int(ttl * MICRO)
@@ -143,8 +196,9 @@ def admit_stream(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 6,
     """The same admission over a stream: ``key, tie, accepted``.
 
     The state of a key is its accepted times within the window; it times out with the
-    watermark once they have all expired.  Events of a micro-batch are taken in order of
-    time and ``tie``.
+    watermark once they have all expired.  A key's events of one micro-batch are taken in
+    order of time and ``tie``: their times are held at once, which what the source takes per
+    trigger bounds.  Events behind the watermark get no decision.
     """
     check_limit(limit, window)
     w = int(window * MICRO)
@@ -156,12 +210,12 @@ def admit_stream(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 6,
             return
         a = Admission(limit, w)
         a.kept.extend(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["_at", tie], kind="stable")
+        rows = pd.concat([b[["_at", tie]] for b in batches]).sort_values(["_at", tie], kind="stable")
         flags = [a.accept(int(t)) for t in rows["_at"]]
         state.update((list(a.kept),))
-        expires = (a.kept[-1] if a.kept else int(rows["_at"].max())) // 1000 + w // 1000
+        expires = (a.kept[-1] if a.kept else int(rows["_at"].iloc[-1])) // 1000 + w // 1000
         state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: rows[key], tie: rows[tie], "accepted": flags})
+        yield pd.DataFrame({key: [k[0]] * len(rows), tie: rows[tie], "accepted": flags})
 
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).withColumn("_at", _micros("_ts")).select(key, tie, "_ts", "_at")
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean", "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.streaming.admission import MICRO, Admission, TtlCache, admit, admit_stream, bursts, cache_hits, check_limit, window_counts
+from quarry.streaming.admission import MICRO, Admission, Clients, TtlCache, admit, admit_all, admit_clients, admit_stream, bursts, cache_hits, check_limit, window_counts
 
 
 def test_admission_vectors():
@@ -80,3 +80,39 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {r["id"]: r["accepted"] for r in spark.table("admitted").collect()}
     assert got == {r["id"]: r["accepted"] for r in admit(frame(spark, rows), "k", "ts", "id", 2, 60).collect()}
+
+
+def test_clients_share_places():
+    """Full places refuse new clients and put none out; refusals neither extend a time nor take a place."""
+    c = Clients(1, 60, 2, 60)
+    assert c.accept("a", 0) and c.accept("b", 0) and not any(c.accept(f"n{i}", 0) for i in range(50)) and len(c.of) == 2
+    assert not c.accept("a", 59) and c.accept("n1", 60) and c.accept("a", 60) and not c.accept("b", 60)
+    assert not Clients(0, 60, 2, 60).accept("a", 0) and not Clients(1, 60, 0, 60).accept("a", 0)
+
+
+def test_clients_and_budget_against_one_by_one(spark):
+    rows = events(5)
+    clients, budget = Clients(2, 60, 2, 120), Admission(5, 600)
+    want, all_ = {}, {}
+    for i, k, s, _ in rows:
+        if k:
+            want[i] = clients.accept(k, s)
+        all_[i] = budget.accept(s)
+    mixed = frame(spark, [(i, k and (k.upper() if i % 2 else k), s, n) for i, k, s, n in rows])
+    assert {r["id"]: r["accepted"] for r in admit_clients(mixed, "k", "ts", "id", 2, 60, 2, 120).collect()} == want
+    assert {r["id"]: r["accepted"] for r in admit_all(mixed, "ts", "id", 5, 600).collect()} == all_
+    assert 0 < sum(want.values()) < len(want)
+    with pytest.raises(ValueError):
+        admit_clients(mixed, "k", "ts", "id", 2, 60, 2, 30)
+
+
+def test_late_rows_get_no_decision(spark, tmp_path):
+    """What comes in behind the watermark is left out; what is late but before it is decided."""
+    base = 1_000_000
+    parts = [[(1, "a", base, "x"), (2, "a", base + 7200, "x")], [(3, "a", base + 7100, "x")], [(4, "a", base + 10, "x"), (5, "a", base + 7300, "x")]]
+    for n, rows in enumerate(parts):
+        frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "late" / str(n)))
+    stream = spark.readStream.schema(frame(spark, parts[0]).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "late"))
+    q = admit_stream(stream, "k", "ts", "id", 5, 600, late="10 minutes").writeStream.format("memory").queryName("late_rows").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r["id"]: r["accepted"] for r in spark.table("late_rows").collect()} == {1: True, 2: True, 3: True, 5: True}
