@@ -21,14 +21,17 @@ def shingles(text: Column, words: int = 5) -> Column:
 
 
 def near_duplicate_classes(df: DataFrame, key: str, text: str, block: Column) -> tuple[DataFrame, DataFrame]:
-    """Members and classes: ``key, class`` of every row, and ``class, block, s, size`` of each set of equal shingles within a block.
+    """Members and classes: ``key, class`` of every row, and ``class, block, s, size, longest`` of each set of equal shingles within a block.
 
-    Rows of one class are copies of each other; only classes are compared.
+    Rows of one class are copies of each other (texts without a word are copies too); only
+    classes are compared.  Sets are told apart by 128 bits.  ``longest`` is the length of a
+    class's longest text.
     """
-    rows = materialize(df.select(key, block.alias("block"), F.sort_array(shingles(F.col(text))).alias("s")).where(F.size("s") > 0).withColumn("h", F.xxhash64("block", "s")))
-    classes = rows.groupBy("h").agg(F.min(key).alias("class"), F.first("block").alias("block"), F.first("s").alias("s"), F.count("*").alias("size"))
-    classes = materialize(classes)
-    return materialize(rows.select(key, "h").join(classes.select("h", "class"), "h").select(key, "class")), classes.select("class", "block", "s", "size")
+    s = F.sort_array(shingles(F.col(text)))
+    hashed = df.select(key, block.alias("block"), s.alias("s"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
+    rows = materialize(hashed.select("*", F.xxhash64("block", "s", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "s", "block").alias("h2")))
+    classes = materialize(rows.groupBy("h1", "h2").agg(F.min(key).alias("class"), F.first("block").alias("block"), F.first("s").alias("s"), F.count("*").alias("size"), F.max("n_chars").alias("longest")))
+    return rows.select(key, "h1", "h2").join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select(key, "class"), classes.drop("h1", "h2")
 
 
 def near_duplicate_links(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -36,10 +39,12 @@ def near_duplicate_links(classes: DataFrame, threshold: float = 0.8) -> DataFram
 
     Prefix filtering, exact: sets whose Jaccard reaches t share one of the first
     |s| - ceil(t |s|) + 1 shingles in any common order; the rarest come first, and a
-    shingle that occurs once meets nobody.  Sizes must agree within t; what is left is
-    compared in full.
+    shingle that occurs once meets nobody, nor does a class that is alone in its block.
+    Sizes must agree within t; what is left is compared in full.
     """
-    flat = classes.select("class", "block", F.size("s").alias("n"), F.explode("s").alias("x"))
+    several = classes.where(F.size("s") > 0).groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
+    met = classes.where(F.size("s") > 0).join(several, "block", "left_semi")
+    flat = met.select("class", "block", F.size("s").alias("n"), F.explode("s").alias("x"))
     df = flat.groupBy("block", "x").agg(F.count("*").alias("df"))
     ordered = flat.join(df, ["block", "x"]).groupBy("class", "block", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
@@ -47,7 +52,7 @@ def near_duplicate_links(classes: DataFrame, threshold: float = 0.8) -> DataFram
     a, b = (prefix.select("block", "x", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9)
     pairs = a.join(b, ["block", "x"]).where(fits).select("a", "b").distinct()
-    sets = classes.select("class", "s")
+    sets = met.select("class", "s")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)

@@ -35,7 +35,7 @@ def near_duplicate_links(spark, sf_dir):
 def near_duplicate_greedy(spark, sf_dir):
     """Every record with the record that stands for it; the longest text survives, then the first."""
     members, classes, links = _links(spark, sf_dir)
-    rank = classes.select("class", F.struct((-F.size("s")).alias("n"), "class").alias("rank"))
+    rank = classes.select("class", F.struct((-F.col("longest")).alias("n"), "class").alias("rank"))
     kept = D.greedy_survivors(classes, links, rank)
     return members.join(kept, "class").select("record_id", "class", "keeper")
 
@@ -68,15 +68,24 @@ def index_refresh_diff(spark, sf_dir):
 
 
 _NAME = "lower(regexp_replace(coalesce(course_name, ''), '[^\\p{L}\\p{N}]', '', 'g'))"
-_SH = """w AS (SELECT record_id, name, list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}]+'), lambda x: x <> '') AS w FROM named),
-s AS (SELECT record_id, name, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
-c AS (SELECT name, list_sort(s) AS s, min(record_id) AS class FROM s GROUP BY 1, 2),
-l AS (SELECT a.class AS a, b.class AS b FROM c a JOIN c b ON a.name = b.name AND a.class < b.class WHERE len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9)"""
+_SH = """w AS (SELECT record_id, name, length(text) AS n_chars, list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}]+'), lambda x: x <> '') AS w FROM named),
+s AS (SELECT record_id, name, n_chars, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+c AS (SELECT name, list_sort(s) AS s, min(record_id) AS class, max(n_chars) AS longest FROM s GROUP BY 1, 2),
+l AS (SELECT a.class AS a, b.class AS b FROM c a JOIN c b ON a.name = b.name AND a.class < b.class WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9)"""
 
 SQL = {
     "canonical_dedup_rank": f"SELECT name, record_id, n AS n_records FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY (lower(trim(coalesce(sources, ''))) <> 'html') DESC, length(text) DESC, record_id) AS r, count(*) OVER (PARTITION BY name) AS n FROM (SELECT *, {_NAME} AS name FROM syllabus WHERE text IS NOT NULL)) WHERE r = 1",
     "near_duplicate_links": f"""WITH named AS (SELECT record_id, text, {_NAME} AS name FROM syllabus WHERE text IS NOT NULL), {_SH}
         SELECT s.record_id, c.class, (SELECT count(*) FROM l WHERE l.a = c.class OR l.b = c.class) AS links FROM s JOIN c ON c.name = s.name AND c.s = list_sort(s.s)""",
+    "near_duplicate_greedy": f"""WITH RECURSIVE named AS (SELECT record_id, text, {_NAME} AS name FROM syllabus WHERE text IS NOT NULL), {_SH},
+        o AS (SELECT name, class, row_number() OVER (PARTITION BY name ORDER BY longest DESC, class) AS i FROM c),
+        e AS (SELECT x.class, x.i, y.class AS other, y.i AS other_i FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) t JOIN o x ON x.class = t.a JOIN o y ON y.class = t.b WHERE y.i < x.i),
+        n AS (SELECT o.name, o.class, o.i, coalesce((SELECT list(other) FROM e WHERE e.class = o.class), []) AS better FROM o),
+        r AS (SELECT name, i, [class] AS kept FROM n WHERE i = 1
+              UNION ALL SELECT n.name, n.i, CASE WHEN list_has_any(r.kept, n.better) THEN r.kept ELSE list_append(r.kept, n.class) END FROM r JOIN n ON n.name = r.name AND n.i = r.i + 1),
+        k AS (SELECT name, unnest(kept) AS class FROM r WHERE i = (SELECT max(i) FROM n WHERE n.name = r.name)),
+        g AS (SELECT class, class AS keeper FROM k UNION ALL SELECT e.class, arg_min(other, other_i) FROM e WHERE e.class NOT IN (SELECT class FROM k) AND e.other IN (SELECT class FROM k) GROUP BY e.class)
+        SELECT s.record_id, c.class, g.keeper FROM s JOIN c ON c.name = s.name AND c.s = list_sort(s.s) JOIN g ON g.class = c.class""",
     "source_coalesce_dedup": f"SELECT code, class_no, first(course_name ORDER BY row_id) FILTER (WHERE trim(course_name) <> '') AS course_name, first(professor ORDER BY row_id) FILTER (WHERE trim(professor) <> '') AS professor, first(syllabus_url ORDER BY row_id) FILTER (WHERE trim(syllabus_url) <> '') AS syllabus_url, count(*) AS n_rows FROM (SELECT row_id, {_BARE} AS code, trim(class_no) AS class_no, course_name, professor, syllabus_url FROM courses WHERE course_code IS NOT NULL AND class_no IS NOT NULL) GROUP BY code, class_no",
     "schedule_merge_distinct": f"SELECT code, e.day AS day, e.start_period AS start_period, e.end_period AS end_period, e.room AS room, count(DISTINCT record_id) AS n_records FROM (SELECT record_id, {_BARE} AS code, unnest(schedule_entries) AS e FROM syllabus) WHERE code <> '' GROUP BY ALL",
     "union_sections": f"SELECT DISTINCT code, class_no FROM (SELECT {_BARE} AS code, trim(class_no) AS class_no FROM syllabus UNION ALL SELECT {_BARE.replace('course_code', 'd.course_code')}, trim(d.class_no) FROM (SELECT unnest(duplicate_sections) AS d FROM syllabus)) WHERE code <> '' AND class_no <> ''",
