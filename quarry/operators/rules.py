@@ -119,3 +119,15 @@ def substantive(question: Column) -> Column:
 def broad(question: Column) -> Column:
     """Whether a question is after many courses and names none by its code."""
     return contains_any(question, BROAD_TERMS) & (F.size(course_codes(question)) == 0)
+
+
+# What is added to a question for a vector search, by intent.
+_ADDED = (
+    (CODING_TERMS, "Python R 프로그래밍 코딩 데이터분석 소프트웨어 실습 알고리즘 머신러닝"), (PROJECT_TERMS, "프로젝트 PBL 캡스톤 팀 프로젝트 발표 과제"),
+    (SYNONYMS["실습"], "실습 구현 분석 소프트웨어 프로젝트 PBL"), (ASSESSMENT_TERMS, "평가방식 성적 중간고사 기말고사 과제 출석 발표"),
+)
+
+
+def retrieval_query(question: Column) -> Column:
+    """A question with words of its intents behind it."""
+    return F.concat_ws(" ", question, *[F.when(contains_any(question, terms), F.lit(words)) for terms, words in _ADDED])

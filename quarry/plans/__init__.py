@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("multivalue", "retrieval", "text", "search", "catalog", "chat", "quality", "evaluation", "dedup", "streams", "extraction")
+MODULES = ("multivalue", "retrieval", "text", "search", "catalog", "chat", "quality", "evaluation", "dedup", "streams", "extraction", "answers")
 
 
 def queries() -> dict:
