@@ -112,6 +112,104 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return top_k(near, k, score="cosine", tie=key)
 
 
+#: Rows that the centroids of a vector index are fitted on, at most; every row is indexed.
+SAMPLE = 8_192
+
+
+def fit_centroids(vectors: DataFrame, lists: int, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rounds: int = 20) -> np.ndarray:
+    """At most ``lists`` unit vectors that the rows gather around, by spherical k-means on a bounded sample: the ``sample`` rows of smallest key hash."""
+    rows = vectors.where(F.size(vector) > 0).select(F.xxhash64(key).alias("h"), vector).orderBy("h").limit(sample).collect()
+    if not rows:
+        return np.zeros((0, 1))
+    m = np.asarray([r[vector] for r in rows], dtype=np.float64)
+    norm = np.linalg.norm(m, axis=1)
+    m = m[norm > 0] / norm[norm > 0, None]
+    # The first centroid is the first row, each further one the row that is farthest from those before.
+    chosen, near = [0], np.full(len(m), -np.inf)
+    while len(chosen) < min(lists, len(m)):
+        near = np.maximum(near, m @ m[chosen[-1]])
+        chosen.append(int(near.argmin()))
+    c = m[chosen] if len(m) else m
+    for _ in range(rounds if len(m) else 0):
+        of = (m @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, m)
+        size = np.linalg.norm(sums, axis=1)
+        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], c)
+    return c
+
+
+def cosine_top_k_indexed(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 64, probes: int = 40, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """``qid, key, cosine, rank`` like ``cosine_top_k``, over the ``probes`` lists of rows nearest to each query.
+
+    Every row is in the list of its nearest centroid.  Rows of a list travel in blocks, so
+    that a list that holds a third of all rows is many rows of the join, which AQE splits;
+    queries meet the blocks of their lists by an equality join.  What is in no probed list
+    isn't found: recall is measured against the exact search in the tests.  Vectors that
+    gather in directions need few probes; the default gives 0.9 and more even where they
+    don't gather at all, and reads six rows of ten.  Null, empty and zero vectors score nothing.
+    """
+    centroids = fit_centroids(vectors, lists, key, vector)
+    held = vectors.sparkSession.sparkContext.broadcast(centroids)
+
+    def placed(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = held.value
+            for b in batches:
+                ids, rows = [], []
+                for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if v and any(v):
+                        ids.append(i)
+                        rows.append(v)
+                if not ids or not len(c):
+                    continue
+                m = np.asarray(rows, dtype=np.float64)
+                m /= np.linalg.norm(m, axis=1)[:, None]
+                best = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int32()), pa.array(np.repeat(ids, best.shape[1]), pa.int64()), pa.array([r.tobytes() for r in m for _ in range(best.shape[1])], pa.binary())], names=["list", "id", "v"])
+
+        return run, "list int, id bigint, v binary"
+
+    def packed(size: int, name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, ids, rows = None, [], []
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(rows)], pa.binary())], names=["list", f"{name}_ids", name])
+
+            for b in batches:
+                for g, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    if ids and (g != at or len(ids) == size):
+                        yield flush()
+                        ids, rows = [], []
+                    at = g
+                    ids.append(i)
+                    rows.append(v)
+            if ids:
+                yield flush()
+
+        return run, f"list int, {name}_ids array<bigint>, {name} binary"
+
+    def blocks(df: DataFrame, n: int, size: int, name: str) -> DataFrame:
+        run, schema = placed(n)
+        rows = df.select(F.col(key).cast("bigint"), vector).mapInArrow(run, schema).sortWithinPartitions("list")
+        run, schema = packed(size, name)
+        return rows.mapInArrow(run, schema)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim = held.value.shape[1]
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, m = np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["r"]).reshape(-1, dim)
+                scores, ids = np.round(a @ m.T, 6), np.asarray(r["r_ids"])
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r["q_ids"], n), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel(), pa.float64())], names=["qid", key, "cosine"])
+
+    met = blocks(queries, probes, 512, "q").join(blocks(vectors, 1, block, "r"), "list").select("q_ids", "q", "r_ids", "r")
+    return top_k(met.mapInArrow(product, f"qid bigint, {key} bigint, cosine double"), k, score="cosine", tie=key)
+
+
 def rrf(lists: list[DataFrame], key: str = "doc_id", by: str = "qid", c: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (``by, key, rank``): the sum of 1 / (c + rank)."""
     union = lists[0].select(by, key, "rank")

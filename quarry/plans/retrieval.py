@@ -58,6 +58,11 @@ def cosine_topk(spark, sf_dir):
     return R.cosine_top_k(*_vectors(spark, sf_dir), 10).select("qid", "vec_id", "cosine", "rank")
 
 
+def cosine_topk_indexed(spark, sf_dir):
+    """The ten nearest rows of each query vector among the lists of rows nearest to it."""
+    return R.cosine_top_k_indexed(*_vectors(spark, sf_dir), 10).select("qid", "vec_id", "cosine", "rank")
+
+
 def _lists(spark, sf_dir, whole=False):
     """Lexical and semantic lists for the query documents that have a vector: their first line, or their whole text, against all documents, their vector against all vectors."""
     docs = table(spark, sf_dir, "documents")
@@ -205,4 +210,4 @@ SQL = {
         SELECT qid, doc_id, substr(s, 1, 260) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY hits DESC, i) AS r FROM h) WHERE r = 1""",
 }
 SQL["indexed_search"] = SQL["bm25_topk"]
-QUERIES = {f.__name__: f for f in (bm25_topk, indexed_search, bm25_term_stats, doc_lengths, cosine_topk, rrf_fusion, rrf_fusion_whole, hybrid_evidence_rank, hybrid_evidence_rank_whole, relevance_threshold, relevance_threshold_whole, per_group_cap, mmr_diversify, best_snippet, evidence_excerpt, keyword_boost_rank, token_jaccard_pairs)}
+QUERIES = {f.__name__: f for f in (bm25_topk, indexed_search, bm25_term_stats, doc_lengths, cosine_topk, cosine_topk_indexed, rrf_fusion, rrf_fusion_whole, hybrid_evidence_rank, hybrid_evidence_rank_whole, relevance_threshold, relevance_threshold_whole, per_group_cap, mmr_diversify, best_snippet, evidence_excerpt, keyword_boost_rank, token_jaccard_pairs)}

@@ -49,6 +49,27 @@ def test_cosine_blocks(spark):
     assert len(got) == 35
 
 
+@pytest.mark.parametrize("size", ("sf0.01", "sf0.1"))
+def test_recall_of_the_vector_index(spark, size):
+    """Nine of ten true neighbours at least, for query vectors spread over the table."""
+    v = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0")
+    found = R.cosine_top_k_indexed(v, asked, 10)
+    want = {(r["qid"], r["vec_id"]) for r in R.cosine_top_k(v, asked, 10).collect()}
+    got = {(r["qid"], r["vec_id"]) for r in found.collect()}
+    print(f"{size}: recall {len(want & got) / len(want):.3f}")
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_vector_index_of_odd_tables(spark):
+    rows = [(i, [1.0, i / 100, 0.0]) for i in range(3000)] + [(3000, None), (3001, []), (3002, [0.0, 0.0, 0.0]), (3003, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1))
+    got = R.cosine_top_k_indexed(df, df.where("vec_id in (0, 3000, 3003)"), 3, lists=4, probes=4, block=100)
+    exact = R.cosine_top_k(df, df.where("vec_id in (0, 3000, 3003)"), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
+    assert R.cosine_top_k_indexed(df.limit(0), df, 3).count() == 0 and R.cosine_top_k_indexed(df, df.limit(0), 3).count() == 0
+
+
 def test_mmr(spark):
     rows = [("q", 1, 1.0, "a", ["x", "y"]), ("q", 2, 0.9, "b", ["x", "y"]), ("q", 3, 0.8, "c", ["z"]), ("q", 4, 0.7, "a", ["w"]), ("q", 5, 0.6, "a", ["v"])]
     df = spark.createDataFrame(rows, "qid string, doc_id long, score double, course_code string, tokens array<string>")
