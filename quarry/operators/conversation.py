@@ -9,9 +9,10 @@ from .search import contained
 
 
 def deliveries_once(turns: DataFrame) -> DataFrame:
-    """One row per (conv_id, turn): the delivery with the smallest log_id."""
-    kept = turns.groupBy("conv_id", "turn").agg(F.min("log_id").alias("log_id"))
-    return turns.join(kept, ["conv_id", "turn", "log_id"], "left_semi")
+    """One row per (conv_id, turn): the delivery with the smallest log_id; one shuffle, no join."""
+    rest = F.struct(*[c for c in turns.columns if c not in ("conv_id", "turn")])
+    kept = turns.groupBy("conv_id", "turn").agg(F.min_by(rest, "log_id").alias("r"))
+    return kept.select(*[F.col(c) if c in ("conv_id", "turn") else F.col(f"r.{c}").alias(c) for c in turns.columns])
 
 
 def mentions(turns: DataFrame, codes: DataFrame) -> DataFrame:

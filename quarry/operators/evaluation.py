@@ -52,3 +52,12 @@ def label_problems(cases: DataFrame, codes: DataFrame) -> DataFrame:
     short = s.where(F.length("snippet") < 8).select("qid", F.lit("short snippet").alias("problem"))
     stray = s.join(exp, ["qid", "code"], "left_anti").select("qid", F.lit("evidence of another course").alias("problem"))
     return unknown.union(short).union(stray).distinct()
+
+
+def label_checks(cases: DataFrame, codes: DataFrame, least: int = 8) -> DataFrame:
+    """``check, n_checked, n_problems``: what ``label_problems`` looks at, and how much of it is wrong; a row per check, whatever is found."""
+    exp, s = expected(cases), snippets(cases)
+    known = exp.join(codes.select("code").distinct().withColumn("known", F.lit(1)), "code", "left")
+    own = s.select("qid", "code").distinct().join(exp.withColumn("known", F.lit(1)), ["qid", "code"], "left")
+    count = lambda df, name, wrong: df.agg(F.count("*").alias("n_checked"), F.count_if(wrong).alias("n_problems")).select(F.lit(name).alias("check"), "n_checked", "n_problems")
+    return count(known, "expected codes", F.col("known").isNull()).union(count(s, "snippets", F.length("snippet") < least)).union(count(own, "courses with evidence", F.col("known").isNull()))

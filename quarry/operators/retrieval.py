@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.storage import materialize
 from ..functions.text import tokenize
 
 K1, B = 1.5, 0.75
@@ -34,15 +35,15 @@ def bm25(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str =
     """``qid, doc_id, score`` of every document that shares a term with a query.
 
     Only the terms asked for become postings: the term join comes before any shuffle of
-    tokens, lengths are counted in the row, and document frequencies come from the same
-    postings.
+    tokens and lengths are counted in the row.  The postings are written once; document
+    frequencies and scores are read off them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.col(text)).alias("tokens"))
     sized = rows.withColumn("dl", F.size("tokens"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     asked = terms.select("term").distinct()
     postings = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return bm25_scores(postings, stats, terms)
+    return bm25_scores(materialize(postings), stats, terms)
 
 
 def bm25_scores(postings: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:

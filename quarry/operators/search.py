@@ -79,7 +79,7 @@ def keyword_scores(passages: DataFrame, questions: DataFrame, qid: str = "qid",
     stats = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     postings = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     asked = terms.select("qid").distinct()  # a question without terms finds nothing
-    parts = [R.bm25_scores(postings, stats, terms).select("qid", F.col("doc_id").alias("pid"), "score")]
+    parts = [R.bm25_scores(materialize(postings), stats, terms).select("qid", F.col("doc_id").alias("pid"), "score")]
 
     low = q.join(asked, "qid", "left_semi").select("qid", "q", F.lower("q").alias("low"))
     fields = passages.select("pid", F.lower("course_code").alias("code"), "course_name", "professor")

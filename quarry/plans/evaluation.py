@@ -39,6 +39,12 @@ def label_validation(spark, sf_dir):
     return E.label_problems(table(spark, sf_dir, "retrieval_cases"), codes)
 
 
+def label_checks(spark, sf_dir):
+    """How many expected codes, snippets and courses with evidence were checked, and how many are wrong."""
+    codes = table(spark, sf_dir, "courses").select(T.bare_code(F.col("course_code")).alias("code")).distinct()
+    return E.label_checks(table(spark, sf_dir, "retrieval_cases"), codes, 30)
+
+
 def group_consistency(spark, sf_dir):
     """Questions that read the same: how many cases, how many different expected sets, whether they agree."""
     c = table(spark, sf_dir, "retrieval_cases").select(T.normalize_question(F.col("question")).alias("q"), F.array_join(F.sort_array(F.array_distinct("expected_codes")), ",").alias("codes"))
@@ -101,6 +107,10 @@ SQL = {
     "label_validation": f"""WITH exp AS (SELECT DISTINCT id AS qid, unnest(expected_codes) AS code FROM retrieval_cases), s AS (SELECT qid, code, unnest(e.snippets) AS snippet FROM {_SNIP.format(of="retrieval_cases")})
         SELECT DISTINCT qid, 'unknown code' AS problem FROM exp WHERE code NOT IN (SELECT {_BARE} FROM courses WHERE course_code IS NOT NULL)
         UNION SELECT qid, 'short snippet' FROM s WHERE length(snippet) < 8 UNION SELECT qid, 'evidence of another course' FROM s WHERE NOT EXISTS (SELECT 1 FROM exp WHERE exp.qid = s.qid AND exp.code = s.code)""",
+    "label_checks": f"""WITH exp AS (SELECT DISTINCT id AS qid, unnest(expected_codes) AS code FROM retrieval_cases), s AS (SELECT qid, code, unnest(e.snippets) AS snippet FROM {_SNIP.format(of="retrieval_cases")})
+        SELECT 'expected codes' AS check, count(*) AS n_checked, CAST(count_if(code NOT IN (SELECT {_BARE} FROM courses WHERE course_code IS NOT NULL)) AS BIGINT) AS n_problems FROM exp
+        UNION ALL SELECT 'snippets', count(*), CAST(count_if(length(snippet) < 30) AS BIGINT) FROM s
+        UNION ALL SELECT 'courses with evidence', count(*), CAST(count_if((qid, code) NOT IN (SELECT (qid, code) FROM exp)) AS BIGINT) FROM (SELECT DISTINCT qid, code FROM s)""",
     "group_consistency": "SELECT q, count(*) AS n_cases, count(DISTINCT codes) AS n_sets, count(DISTINCT codes) <= 1 AS consistent FROM (SELECT trim(regexp_replace(trim(regexp_replace(lower(question), '[ \\t\\n\\f\\r]+', ' ', 'g')), '[?!.,。！？]+$', '')) AS q, array_to_string(list_sort(list_distinct(expected_codes)), ',') AS codes FROM retrieval_cases) GROUP BY q",
     "stress_category_summary": "WITH r AS (SELECT category, length(question)::DOUBLE AS v, row_number() OVER (PARTITION BY category ORDER BY length(question)) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM retrieval_cases WHERE category IS NOT NULL AND question IS NOT NULL) SELECT category, count(*) AS n, round(avg(v), 6) AS mean, max(CASE WHEN i = floor(0.95 * (n - 1)) THEN v END) AS percentile FROM r GROUP BY category",
     "intersect_ordered": "SELECT id, array_to_string(list_filter(expected_codes, lambda x: list_contains(list_transform(expected_courses, lambda c: c.course_code), x)), ',') AS codes FROM retrieval_cases WHERE expected_codes IS NOT NULL AND expected_courses IS NOT NULL",
@@ -109,4 +119,4 @@ SQL = {
         SELECT code, template, CASE k WHEN 0 THEN p WHEN 1 THEN lower(p) ELSE replace(p, ' ', '  ') END AS question FROM q""",
     "conversation_digest": "WITH once AS (SELECT * FROM chat_turns t WHERE log_id = (SELECT min(log_id) FROM chat_turns u WHERE u.conv_id = t.conv_id AND u.turn = t.turn)) SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM once GROUP BY conv_id",
 }
-QUERIES = {f.__name__: f for f in (case_metrics, recall_at_5, evidence_recall, label_validation, group_consistency, stress_category_summary, intersect_ordered, mutation_templates, conversation_digest)}
+QUERIES = {f.__name__: f for f in (case_metrics, recall_at_5, evidence_recall, label_validation, label_checks, group_consistency, stress_category_summary, intersect_ordered, mutation_templates, conversation_digest)}

@@ -57,6 +57,13 @@ def assessment_conflicts(spark, sf_dir):
     return j.groupBy("section", "item").agg(countDistinct("share").alias("n_shares"), F.array_join(F.transform(F.sort_array(F.collect_set("share")), lambda x: x.cast("string")), ",").alias("shares")).where("n_shares > 1")
 
 
+def assessment_spread(spark, sf_dir):
+    """Courses whose records state different percentages for one item: all are shown, none is chosen."""
+    key = _syllabus(spark, sf_dir).select("record_id", T.bare_code(F.col("course_code")).alias("code")).where("code <> ''")
+    per = _assessment(spark, sf_dir).join(key, "record_id").groupBy("code", "item").agg(F.collect_set("share").alias("s")).where(F.size("s") > 1)
+    return per.select("code", "item", F.size("s").cast("bigint").alias("n_shares"), F.array_join(F.transform(F.sort_array("s"), lambda x: x.cast("string")), ",").alias("shares"))
+
+
 def section_summary(spark, sf_dir):
     """The first 420 characters after each text's heading of objectives, up to the line's end."""
     s = _syllabus(spark, sf_dir).where("text is not null").select("record_id", F.regexp_extract("text", r"(?:▷ 수업목표|학습목표:|\[목표\]|Objectives:) ([^\r\n]*)", 1).alias("t"))
@@ -155,6 +162,7 @@ SQL = {
     "assessment_items": f"WITH {_ITEMS} SELECT * FROM items",
     "assessment_conflicts": f"""WITH {_ITEMS}, k AS (SELECT record_id, concat_ws('-', year, term, {_BARE}, trim(class_no)) AS section FROM syllabus WHERE course_code IS NOT NULL AND class_no IS NOT NULL)
         SELECT section, item, count(DISTINCT share) AS n_shares, array_to_string(list_sort(list(DISTINCT share)), ',') AS shares FROM items JOIN k USING (record_id) GROUP BY section, item HAVING count(DISTINCT share) > 1""",
+    "assessment_spread": f"WITH {_ITEMS}, k AS (SELECT record_id, {_BARE} AS code FROM syllabus) SELECT code, item, count(DISTINCT share) AS n_shares, array_to_string(list_sort(list(DISTINCT share)), ',') AS shares FROM items JOIN k USING (record_id) WHERE code <> '' GROUP BY code, item HAVING count(DISTINCT share) > 1",
     "section_summary": "SELECT record_id, substr(t, 1, 420) AS summary FROM (SELECT record_id, regexp_extract(text, '(?:▷ 수업목표|학습목표:|\\[목표\\]|Objectives:) ([^\\r\\n]*)', 1) AS t FROM syllabus WHERE text IS NOT NULL) WHERE t <> ''",
     "sanitized_texts": "SELECT record_id, CAST(length(text) AS INT) AS before, CAST(length(regexp_replace(text, '(?m)^(?:\\[첨부[^\\n]*\\]|학번: +이름: +\\([^\\n]*\\)|\\[목록으로\\] \\[맨 위로\\])\\r?$', '', 'g')) AS INT) AS after FROM syllabus WHERE text IS NOT NULL",
     "schedule_rebuilt": "SELECT record_id, CAST(len(schedule_entries) AS INT) AS n_entries, array_to_string(list_transform(list_filter(schedule_entries, lambda e: coalesce(e.display, '') <> ''), lambda e: e.display), ' / ') AS summary FROM syllabus WHERE len(schedule_entries) > 0",
@@ -175,5 +183,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (labelled_fields, weekly_topics, assessment_items, assessment_conflicts, section_summary, sanitized_texts, schedule_rebuilt, schedule_projection, vector_hit_lookup, source_payload, explicit_priority, context_selection, label_evidence, coverage_join, answer_mode_counts, orders_by_nation)
+    for f in (labelled_fields, weekly_topics, assessment_items, assessment_conflicts, assessment_spread, section_summary, sanitized_texts, schedule_rebuilt, schedule_projection, vector_hit_lookup, source_payload, explicit_priority, context_selection, label_evidence, coverage_join, answer_mode_counts, orders_by_nation)
 }

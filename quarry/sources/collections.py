@@ -33,7 +33,9 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strict(df: DataFrame, required: tuple[str, ...] = ("course_code", "text")) -> DataFrame:
-    """Fails, when run, on a row without one of the required fields."""
+    """Fails on a collection without a row, and, when run, on a row without one of the required fields."""
+    if df.isEmpty():
+        raise ValueError("the collection holds no row")
     for c in required:
         ok = F.col(c).isNotNull() & (F.trim(c) != "")
         df = df.withColumn(c, F.when(ok, F.col(c)).otherwise(F.raise_error(F.lit(f"a row without {c}"))))
@@ -60,3 +62,19 @@ def write_list(df: DataFrame, path: str, columns: list[str]) -> None:
 def write_snapshot(df: DataFrame, path: str, key: str) -> None:
     """A deterministic snapshot: rows in order of ``key``, range-partitioned so that no task holds them all."""
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").json(path)
+
+
+def write_reports(reports: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each report as a CSV list under its name, and ``report, n_rows`` of all as the manifest, which is written last and returned.
+
+    Arrays of plain values are joined by commas, other nested columns are JSON text.
+    """
+    spark = next(iter(reports.values())).sparkSession
+    counts = []
+    for name, df in reports.items():
+        plain = [F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name) if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f.name) for f in df.schema.fields]
+        write_list(df.select(*plain), f"{path}/{name}", df.columns)
+        counts.append((name, read_list(spark, f"{path}/{name}").count()))
+    manifest = spark.createDataFrame(counts, "report string, n_rows long")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return manifest

@@ -90,3 +90,17 @@ def test_intermediate_tables_need_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError):
             shared_dir(session(master))
+
+
+def test_strict_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("A1", "x", ["p", "q"], [(1, "z")]), ("A2", 'say "hi", all', None, None)], "course_code string, text string, tags array<string>, parts array<struct<n: int, t: string>>")
+    assert C.strict(df).count() == 2
+    with pytest.raises(ValueError):
+        C.strict(df.limit(0))
+    with pytest.raises(Exception, match="a row without text"):
+        C.strict(df.withColumn("text", F.lit(" "))).collect()
+    got = C.write_reports({"all": df, "none": df.limit(0)}, str(tmp_path / "r"))
+    assert sorted(map(tuple, got.collect())) == [("all", 2), ("none", 0)]
+    rows = {r["course_code"]: r for r in C.read_list(spark, str(tmp_path / "r" / "all")).collect()}
+    assert rows["A1"]["tags"] == "p,q" and json.loads(rows["A1"]["parts"]) == [{"n": 1, "t": "z"}] and rows["A2"]["text"] == 'say "hi", all'
+    assert spark.read.json(str(tmp_path / "r" / "manifest")).count() == 2
