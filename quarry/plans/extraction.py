@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..sources.pages import json_objects
 from ..sources.tables import table
 from .catalog import _BARE
 from .retrieval import _CASE, _COS, _case_scores, _questions, _vectors
@@ -89,6 +90,12 @@ def schedule_projection(spark, sf_dir):
     return e.select("record_id", "pos", F.concat_ws("|", "e.day", "e.periods", "e.start_time", "e.end_time").alias("entry"))
 
 
+def schedule_objects(spark, sf_dir):
+    """The meetings in the JSON of the course list, where it is JSON: day and display of every object."""
+    c = json_objects(table(spark, sf_dir, "courses").select("row_id", "schedule_entries_json"), "row_id", "schedule_entries_json")
+    return c.select("row_id", "object_no", F.col("fields")["day"].alias("day"), F.col("fields")["display"].alias("display"))
+
+
 def vector_hit_lookup(spark, sf_dir):
     """Each query vector's five nearest rows with the document of the same id, where there is one."""
     hits = R.cosine_top_k(*_vectors(spark, sf_dir), 5)
@@ -167,6 +174,9 @@ SQL = {
     "sanitized_texts": "SELECT record_id, CAST(length(text) AS INT) AS before, CAST(length(regexp_replace(text, '(?m)^(?:\\[첨부[^\\n]*\\]|학번: +이름: +\\([^\\n]*\\)|\\[목록으로\\] \\[맨 위로\\])\\r?$', '', 'g')) AS INT) AS after FROM syllabus WHERE text IS NOT NULL",
     "schedule_rebuilt": "SELECT record_id, CAST(len(schedule_entries) AS INT) AS n_entries, array_to_string(list_transform(list_filter(schedule_entries, lambda e: coalesce(e.display, '') <> ''), lambda e: e.display), ' / ') AS summary FROM syllabus WHERE len(schedule_entries) > 0",
     "schedule_projection": "SELECT record_id, CAST(i - 1 AS INT) AS pos, concat_ws('|', e.day, e.periods, e.start_time, e.end_time) AS entry FROM (SELECT record_id, unnest(schedule_entries) AS e, generate_subscripts(schedule_entries, 1) AS i FROM syllabus)",
+    "schedule_objects": """WITH j AS (SELECT row_id, CASE WHEN json_type(schedule_entries_json) = 'OBJECT' THEN '[' || schedule_entries_json || ']' ELSE schedule_entries_json END AS j FROM courses WHERE json_valid(schedule_entries_json) AND json_type(schedule_entries_json) IN ('ARRAY', 'OBJECT')),
+        u AS (SELECT row_id, unnest(e) AS e, generate_subscripts(e, 1) AS i FROM (SELECT row_id, CAST(j AS JSON[]) AS e FROM j))
+        SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY i) - 1 AS INT) AS object_no, e->>'day' AS day, e->>'display' AS display FROM u WHERE json_type(e) = 'OBJECT'""",
     "vector_hit_lookup": f"WITH {_COS} SELECT qid, vec_id, rank, coalesce(course_code, 'unknown') AS course_code FROM near LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 5",
     "source_payload": f"{_CASE} SELECT qid, course_code, min(rank) AS rank, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (WHERE source IS NOT NULL)), ','), '') AS sources FROM ranked JOIN documents USING (doc_id) WHERE rank <= 20 AND course_code IS NOT NULL GROUP BY qid, course_code",
     "explicit_priority": f"""{_CASE}, r AS (SELECT ranked.qid, doc_id, course_code, rank, coalesce(list_contains({_CODES}, course_code), FALSE) AS named FROM ranked JOIN documents USING (doc_id) JOIN q ON q.qid = ranked.qid WHERE rank <= 20),
@@ -183,5 +193,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (labelled_fields, weekly_topics, assessment_items, assessment_conflicts, assessment_spread, section_summary, sanitized_texts, schedule_rebuilt, schedule_projection, vector_hit_lookup, source_payload, explicit_priority, context_selection, label_evidence, coverage_join, answer_mode_counts, orders_by_nation)
+    for f in (labelled_fields, weekly_topics, assessment_items, assessment_conflicts, assessment_spread, section_summary, sanitized_texts, schedule_rebuilt, schedule_projection, schedule_objects, vector_hit_lookup, source_payload, explicit_priority, context_selection, label_evidence, coverage_join, answer_mode_counts, orders_by_nation)
 }
