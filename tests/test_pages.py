@@ -9,7 +9,7 @@ def pages(spark, texts):
 
 def test_courses_of_pages(spark):
     own = {"list": [{"cour_cd": "AB101", "cour_cls": "1", "cour_nm": "통계", "prof_nm": "김", "time_room": "월(1-2)", "credit": 3}, {"COUR_CD": "AB101", "cour_cls": "01"}, {"cour_cd": "CD202", "params": "x@03"}, {"other": 1}]}
-    loose = [{"subjNo": "EF303-1", "bunban": "7", "korName": "확률", "담당교수": None, "profName": "이", "deep": {"classTitle": "GH404"}}]
+    loose = [{"subjNo": "EF303-1", "bunban": "7", "korName": "확률", "담당교수": None, "profName": "이", "deep": {"courseTitle": "GH404", "classTitle": "KL606"}, "else": {"classTitle": "KL606"}}]
     calls = "<a onclick=\"fnPlanView('2031','AB101','통계','02')\">x</a><a onclick=\"fnPlanView('AB101', '02')\"> <tr><td>ZZ999</td></tr>"
     rows = "<table><tr><th>코드</th></tr><tr><td>01</td><td>IJ505</td><td>3(3)</td><td>실험 <b>A</b></td><td>박 교수</td></tr></table>"
     got = {}
