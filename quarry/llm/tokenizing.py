@@ -134,9 +134,19 @@ def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", mean: int =
     return materialize(cut.select(key, F.monotonically_increasing_id().alias("row"), "units"))
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids in two bytes each where they fit, else in four, behind a byte that says which."""
+    wide = max(ids, default=0) > 0xFFFF
+    return (b"4" if wide else b"2") + np.asarray(ids, dtype="<u4" if wide else "<u2").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if data[:1] == b"4" else "<u2", offset=1)
+
+
 def chunk_table(cut: DataFrame, path: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
-    """``h1, h2, ids`` (or ``n``) of every different piece of the corpus, each encoded once."""
-    value = pa.int32() if counts_only else pa.list_(pa.int32())
+    """``h1, h2, ids`` (packed; or ``n``) of every different piece of the corpus, each encoded once."""
+    value = pa.int32() if counts_only else pa.binary()
     name = "n" if counts_only else "ids"
     target = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), (name, value)])
 
@@ -144,10 +154,10 @@ def chunk_table(cut: DataFrame, path: str = VOCABULARY, counts_only: bool = Fals
         encode = _encode(path)
         for rows in slices(batches, 4096):
             ids = [encode(t) for t in rows.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(x) for x in ids] if counts_only else ids, value)], schema=target)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(x) if counts_only else packed(x) for x in ids], value)], schema=target)
 
     different = cut.select(F.explode("units").alias("unit")).distinct()
-    return different.select(*_hashes(), "unit").mapInArrow(run, f"h1 bigint, h2 bigint, {name} {'int' if counts_only else 'array<int>'}")
+    return different.select(*_hashes(), "unit").mapInArrow(run, f"h1 bigint, h2 bigint, {name} {'int' if counts_only else 'binary'}")
 
 
 def _hashes():
@@ -170,4 +180,14 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     if counts_only:
         return coded.groupBy(key, "row").agg(F.sum("n").cast("int").alias("n_tokens")).select(key, "n_tokens")
     whole = coded.groupBy(key, "row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    return whole.select(key, F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    kind = df.schema[key].dataType.simpleString()
+    target = pa.schema([(key, arrow_type(df, key)), ("ids", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, 256):
+            ids = [np.concatenate([unpacked(x) for x in pieces]).astype(np.int32) for pieces in rows.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(target[0].type), lists], schema=target)
+
+    return whole.select(key, F.transform("p", lambda x: x["ids"]).alias("ids")).mapInArrow(run, f"{key} {kind}, ids array<int>")

@@ -1,7 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quarry.llm.tokenizing import VOCABULARY, _codes, _encode, chunk_table, chunked, cuts, encode_corpus, units
+from quarry.llm.tokenizing import VOCABULARY, _codes, _encode, chunk_table, chunked, cuts, encode_corpus, packed, units, unpacked
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,8 @@ def test_operator(spark, encode):
 def test_whole_table(spark, encode):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert {r["doc_id"]: list(r["ids"]) for r in encode_corpus(docs).collect()} == {r["doc_id"]: encode(r["text"] or "") for r in docs.collect()}
+
+
+@pytest.mark.parametrize("ids", ([], [0], [1, 65_535], [1, 65_536], [2**31 - 1]))
+def test_packed_ids(ids):
+    assert unpacked(packed(ids)).tolist() == ids
