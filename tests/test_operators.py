@@ -272,7 +272,7 @@ def test_expansion_by_synonyms(spark, tmp_path):
     got = {}
     for r in plans_text.query_expansion_terms_whole(spark, str(tmp_path)).collect():
         got.setdefault(r["log_id"], []).append(r["term"])
-    assert all(len(set(v)) == len(v) for v in got.values()) and set(got) == {0, 1, 2, 3, 4, 5}
+    assert all(len(set(v)) == len(v) for v in got.values()) and set(got) == {0, 1, 2, 3, 4, 5, 6} and got[6] == ["the", "course"]
     assert set(got[0]) == quiz | {"있나"} and team | {"그룹은", "많아"} <= set(got[1])
     assert got[2] == ["인코딩", "방식"] and got[4] == ["encoding", "table"] and set(got[3]) == {"바이브코딩", "코딩", "프로그래밍", "개발", "구현", "코드", "coding", "programming"}
     assert set(got[5]) == quiz | {"퀴즈와", "출석", "attendance"} and len(R_.SYNONYMS) == 17
