@@ -44,16 +44,18 @@ def near_duplicate_links(classes: DataFrame, threshold: float = 0.8) -> DataFram
     """
     several = classes.where(F.size("s") > 0).groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
     met = classes.where(F.size("s") > 0).join(several, "block", "left_semi")
-    flat = met.select("class", "block", F.size("s").alias("n"), F.explode("s").alias("x"))
-    df = flat.groupBy("block", "x").agg(F.count("*").alias("df"))
-    ordered = flat.join(df, ["block", "x"]).groupBy("class", "block", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    prefix = materialize(ordered.select("class", "block", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("e")).where("e.df > 1").select("class", "block", "n", F.col("e.x").alias("x")))
-    a, b = (prefix.select("block", "x", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    # A shingle of a block is one number, so that the rows that are shuffled are narrow.
+    flat = met.select("class", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64("block", x))).alias("x"))
+    shared = flat.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = flat.join(shared, "x").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
+    # Those that occur once stand before the shared ones in the order.
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("o"))
+    prefix = materialize(ordered.where(keep > 0).select("class", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("e")).select("class", "n", F.col("e.x").alias("x")))
+    a, b = (prefix.select("x", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9)
-    pairs = a.join(b, ["block", "x"]).where(fits).select("a", "b").distinct()
-    sets = met.select("class", "s")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = a.join(b, "x").where(fits).select("a", "b").distinct()
+    sets = [met.select(F.col("class").alias(c), F.col("block").alias(f"block_{c}"), F.col("s").alias(f"s{c}")) for c in "ab"]
+    both = pairs.join(sets[0], "a").join(sets[1], "b").where("block_a = block_b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 

@@ -60,7 +60,7 @@ def _to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 #: Files that the events come in, each a micro-batch of its own.
-FILES = 4
+FILES = 3
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
