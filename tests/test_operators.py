@@ -102,6 +102,17 @@ def test_sections():
     assert S.sections("") == S.sections(" \n ") == []
 
 
+def test_lines_passed_by_begin_no_section():
+    """The words that a line is looked through for hold for every line of the tables that a rule finds."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/syllabus.parquet' WHERE text IS NOT NULL").fetchall()]
+    words = ["강의계획서 URL: x", "Class Type", "Course Outline", "주별 학습내용", "주차별  강의계획", "Week | Period", "Weekly Learning Content", "Support for Disabled", "Student Learning Ethics", "주 기간 회차 a 학습내용", "[강의계획안 HTML]", "수업자료", "Study Objectives"]
+    for line in {x.strip() for t in texts for x in t.split("\n")} | set(words):
+        if any(p.search(line) for rules in S._AFTER.values() for _, p in rules):
+            assert any(h in line.lower() for h in S._HINTS), line
+
+
 def test_section_chunks_with_evidence(spark):
     """Chunks are whole in their evidence, which is bounded, and stand in their own section only."""
     long = "교과목개요\n" + "\n".join(f"line {i} of the overview, with words enough to need several windows." for i in range(120))
