@@ -44,11 +44,11 @@ def shuffled_mb(spark) -> float:
     return sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(i) for i in range(s.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True))) / 1e6
 
 
-@pytest.mark.parametrize("name", ("hybrid_evidence_rank",))
+@pytest.mark.parametrize("name", ("hybrid_evidence_rank", "relevance_threshold_whole"))
 def test_pairs_are_not_shuffled(spark, large, name):
     """Four million pairs of query and document take tens of MB, the best of each a small part of that."""
     before = shuffled_mb(spark)
-    assert plans.queries()[name](spark, large).count() > 1000
+    assert plans.queries()[name](spark, large).count() > 300
     took = shuffled_mb(spark) - before
     print(f"{name}: {took:.1f} MB shuffled")
     assert took < 6
