@@ -90,19 +90,46 @@ def expanded(tokens: Column) -> Column:
     return F.transform(F.array(own), with_groups)[0]  # binds the tokens, so that they are made once
 
 
+def preferred_sections(question: Column) -> Column:
+    """The sections whose words the question holds; the avoided one is among them if the question holds its words."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    terms = SECTION_TERMS | {AVOIDED_SECTION: AVOIDED_TERMS}
+    return F.array_compact(F.array(*[F.when(q.rlike("|".join(map(re.escape, words))), F.lit(name)) for name, words in terms.items()]))
+
+
+def section_gain(preferred: Column, section: Column) -> Column:
+    """What a section gains or loses, from a question's preferred sections."""
+    held = F.array_contains(preferred, section)
+    return F.when((section != AVOIDED_SECTION) & held, F.lit(0.32)).otherwise(0.0) - F.when((section == AVOIDED_SECTION) & ~held, F.lit(0.35)).otherwise(0.0)
+
+
 def section_priority(question: Column, section: Column) -> Column:
     """0.32 for a section whose words the question holds, -0.35 for the avoided one without its words."""
-    q = F.lower(F.coalesce(question, F.lit("")))
-    holds = lambda terms: q.rlike("|".join(map(re.escape, terms)))
-    wanted = F.coalesce(*[F.when((section == name) & holds(terms), F.lit(0.32)) for name, terms in SECTION_TERMS.items()], F.lit(0.0))
-    return wanted - F.when((section == AVOIDED_SECTION) & ~holds(AVOIDED_TERMS), F.lit(0.35)).otherwise(0.0)
+    return section_gain(preferred_sections(question), section)
+
+
+_INTENTS = ((CODING_TERMS, CODING_EVIDENCE, 0.85), (SYNONYMS["실습"], PRACTICE_EVIDENCE, 0.35), (PROJECT_TERMS, PROJECT_EVIDENCE, 0.7), (ASSESSMENT_TERMS, ASSESSMENT_EVIDENCE, 0.45))
+
+
+def intents(question: Column) -> Column:
+    """For each intent, whether the question has it."""
+    return F.array(*[contains_any(question, asked) for asked, _, _ in _INTENTS])
+
+
+def answers(evidence: Column) -> Column:
+    """For each intent, whether the passage answers it."""
+    return F.array(*[contains_any(evidence, words) for _, words, _ in _INTENTS])
+
+
+def intent_gain(asked: Column, answered: Column) -> Column:
+    """What a passage gains, from a question's intents and those that it answers."""
+    parts = [F.when(asked[i] & answered[i], F.lit(gain)).otherwise(0.0) for i, (_, _, gain) in enumerate(_INTENTS)]
+    return parts[0] + parts[1] + parts[2] + parts[3]
 
 
 def intent_boost(question: Column, evidence: Column) -> Column:
     """What a passage gains if it answers what a question is after: coding 0.85, practice 0.35, project 0.7, assessment 0.45."""
-    rules = ((CODING_TERMS, CODING_EVIDENCE, 0.85), (SYNONYMS["실습"], PRACTICE_EVIDENCE, 0.35), (PROJECT_TERMS, PROJECT_EVIDENCE, 0.7), (ASSESSMENT_TERMS, ASSESSMENT_EVIDENCE, 0.45))
-    parts = [F.when(contains_any(question, asked) & contains_any(evidence, answers), F.lit(gain)).otherwise(0.0) for asked, answers, gain in rules]
-    return parts[0] + parts[1] + parts[2] + parts[3]
+    return intent_gain(intents(question), answers(evidence))
 
 
 def low_information(text: Column) -> Column:

@@ -121,12 +121,14 @@ def rerank(questions: DataFrame, lexical: DataFrame, semantic: DataFrame, passag
     has ``qid, pid, score, rank``, ``semantic`` ``qid, pid, cosine, rank``.
     """
     fused = R.hybrid_evidence(lexical, semantic, key="pid")
-    q = questions.select(F.col(qid).alias("qid"), F.col(text).alias("q"))
-    j = fused.join(q, "qid").join(passages, "pid")
+    # What counts of a question and of a passage is told before they meet, so that no text is shuffled.
+    t = F.col(text)
+    q = questions.select(F.col(qid).alias("qid"), rules.intents(t).alias("asked"), rules.preferred_sections(t).alias("preferred"), rules.substantive(t).alias("substantive"), rules.broad(t).alias("broad"))
     seen = F.concat_ws(" ", "course_code", "course_name", "professor", "text")
-    gain = rules.intent_boost(F.col("q"), seen) + rules.section_priority(F.col("q"), F.col("section"))
-    empty = rules.substantive(F.col("q")) & rules.low_information(F.col("text"))
-    j = j.withColumn("score", F.round(F.col("evidence") + gain, 6)).withColumn("empty", empty).withColumn("broad", rules.broad(F.col("q")))
+    told = passages.select("pid", "course_code", "section", rules.answers(seen).alias("answered"), rules.low_information(F.col("text")).alias("low"))
+    j = fused.join(q, "qid").join(told, "pid")
+    gain = rules.intent_gain(F.col("asked"), F.col("answered")) + rules.section_gain(F.col("preferred"), F.col("section"))
+    j = j.withColumn("score", F.round(F.col("evidence") + gain, 6)).withColumn("empty", F.col("substantive") & F.col("low"))
     others = F.min("empty").over(W.partitionBy("qid"))  # false where a question has a passage that isn't empty
     return j.withColumn("all_empty", others).where(~F.col("empty") | F.col("all_empty")).select("qid", "pid", "course_code", "lexical", "semantic", "evidence", "score", "broad")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.storage import materialize
 from ..functions.text import tokenize
 from ..operators import retrieval as R, rules, search as S
+from ..operators.scoring import bm25_top_k
 from ..sources.tables import table
 from .catalog import _BARE
 from .retrieval import TOK, _questions, _vectors
@@ -42,16 +43,23 @@ def keyword_ranking(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return materialize(d.select(F.col("doc_id").alias("pid"), F.coalesce("course_code", F.lit("")).alias("course_code"), F.lit("").alias("course_name"), F.lit("").alias("professor"), F.lit("평가방법").alias("section"), "text", tokenize(F.col("text")).alias("tokens")))
+    return d.select(F.col("doc_id").alias("pid"), F.coalesce("course_code", F.lit("")).alias("course_code"), F.lit("").alias("course_name"), F.lit("").alias("professor"), F.lit("평가방법").alias("section"), "text")
+
+
+#: Found passages that are broadcast, at most.
+FEW = 200_000
 
 
 def _reranked(spark, sf_dir):
-    """Documents that have a vector ask with their whole text and their vector."""
+    """Documents that have a vector ask with their whole text and their vector; of the documents, those in one of the lists are kept."""
     docs = _documents(spark, sf_dir)
     asked = docs.where("pid % 100 = 0").select(F.col("pid").alias("qid"), F.col("text").alias("question"))
-    lexical = R.top_k(R.bm25(docs, R.query_terms(asked, "qid", "question"), "pid"), 15).withColumnRenamed("doc_id", "pid")
-    semantic = R.cosine_top_k(*_vectors(spark, sf_dir), 24).withColumnRenamed("vec_id", "pid")
-    return docs, asked, S.rerank(asked, lexical, semantic, docs)
+    lexical = materialize(bm25_top_k(docs, R.query_terms(asked, "qid", "question"), 15, "pid").withColumnRenamed("doc_id", "pid"))
+    semantic = materialize(R.cosine_top_k(*_vectors(spark, sf_dir), 24).withColumnRenamed("vec_id", "pid"))
+    found = materialize(lexical.select("pid").union(semantic.select("pid")).distinct())
+    met = docs.join(F.broadcast(found) if found.count() <= FEW else found, "pid", "left_semi")
+    kept = materialize(met.withColumn("tokens", tokenize(F.col("text"))), "zstd")
+    return kept, asked, S.rerank(asked, lexical, semantic, kept)
 
 
 def hybrid_rerank(spark, sf_dir):
