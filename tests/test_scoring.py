@@ -44,7 +44,7 @@ def shuffled_mb(spark) -> float:
     return sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(i) for i in range(s.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True))) / 1e6
 
 
-@pytest.mark.parametrize("name", ("hybrid_evidence_rank", "relevance_threshold_whole", "hybrid_evidence_rank_whole", "relevant_matches", "rrf_fusion", "hybrid_answer", "hybrid_rerank", "relevance_threshold"))
+@pytest.mark.parametrize("name", ("hybrid_evidence_rank", "relevance_threshold_whole", "hybrid_evidence_rank_whole", "relevant_matches", "rrf_fusion", "hybrid_answer", "hybrid_rerank", "relevance_threshold", "rrf_fusion_whole"))
 def test_pairs_are_not_shuffled(spark, large, name):
     """Four million pairs of query and document take tens of MB, the best of each a small part of that."""
     before = shuffled_mb(spark)
