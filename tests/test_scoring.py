@@ -52,3 +52,20 @@ def test_pairs_are_not_shuffled(spark, large, name):
     took = shuffled_mb(spark) - before
     print(f"{name}: {took:.1f} MB shuffled")
     assert took < 6
+
+
+def sent_mb(node) -> float:
+    """What the plan's functions over Arrow batches were given."""
+    inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().apply("pythonDataSent").value() / 1e6 if node.metrics().contains("pythonDataSent") else 0
+    return own + sum(map(sent_mb, inner))
+
+
+def test_blocks_are_sent_once(spark, large):
+    """25 blocks of queries meet each block of documents, which is sent with the first of them only; else it fills the executors' memory."""
+    docs = spark.read.parquet(f"{large}/documents.parquet")
+    best = bm25_top_k(docs, R.query_terms(docs.where("doc_id % 100 = 0"), "doc_id", "text"), 5, query_block=8)
+    assert len(best.collect()) == 1000
+    took = sent_mb(best._jdf.queryExecution().executedPlan())
+    print(f"{took:.1f} MB sent")
+    assert 1 < took < 15
